@@ -69,6 +69,7 @@ SPELLINGS: tuple[tuple[str, str], ...] = (
     ("licence", "license"),
     ("licenced", "licensed"),
     ("licences", "licenses"),
+    ("sublicence", "sublicense"),
     ("sub license", "sublicense"),
     ("non infringement", "noninfringement"),
     ("acknowledgement", "acknowledgment"),

@@ -9,6 +9,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import BROADCAST_BYTES, materialise, shuffle_partitions, without
 from .components import connected_components
@@ -17,6 +18,8 @@ from .components import connected_components
 BAND_NUM, BAND_DEN = 7, 5
 #: Members of a tile that one task compares at once; larger tiles are cut into squares of so many by so many.
 TILE = 2048
+#: Smallest keys by which two members of several tiles agree in which one they are compared.
+SKETCH = 32
 #: Word hashes a task remembers at most.
 MAX_WORDS = 400_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
@@ -252,19 +255,22 @@ def exact_links(pairs: DataFrame, sets: DataFrame, n: int, rule: Rule, name: str
 def tile_pairs(members: DataFrame, rule: Rule) -> DataFrame:
     """Distinct ``(a, b)`` of members of one tile (a key) in different groups whose bit counts allow a link.
 
-    ``members``: k, i, j, block, class, grp, size, map, sorted by (k, i, j); a cell (i, j) holds blocks i and j of a tile.
+    ``members``: k, i, j, block, class, grp, size, map, keys, sorted by (k, i, j); a cell (i, j) holds blocks i and j of a tile. ``keys``:
+    the SKETCH smallest keys of the member's tiles, in order. Copies share most of their tiles: a pair is given by the tile of its
+    smallest common key alone. Pairs without a common key among these are given by each of their tiles.
     """
 
     def cell(c: dict) -> Iterator[pd.DataFrame]:
         n, grp, classes, block = np.array(c["size"]), np.array(c["grp"]), np.array(c["class"]), np.array(c["block"])
-        maps = [np.frombuffer(m, np.uint64) for m in c["map"]]
+        maps, k = [np.frombuffer(m, np.uint64) for m in c["map"]], c["k"]
         found_a, found_b = [], []
         for x in range(len(n)):
             others = np.arange(x + 1, len(n))
             others = others[grp[others] != grp[x]]
             if c["i"] != c["j"]:
                 others = others[block[others] != block[x]]
-            hit = others[may_link(rule, n, maps, x, others)]
+            mine = set(c["keys"][x].tolist())
+            hit = [y for y in others[may_link(rule, n, maps, x, others)].tolist() if next((key for key in c["keys"][y].tolist() if key in mine), k) == k]
             found_a += [classes[x]] * len(hit)
             found_b += classes[hit].tolist()
         yield pd.DataFrame({"a": np.minimum(found_a, found_b).astype(np.int64), "b": np.maximum(found_a, found_b).astype(np.int64)})
@@ -273,12 +279,12 @@ def tile_pairs(members: DataFrame, rule: Rule) -> DataFrame:
         at, now = None, None
         for batch in batches:
             for row in batch.itertuples(index=False, name=None):
-                k, i, j, block, cls, grp, size, bits = row
+                k, i, j, block, cls, grp, size, bits, keys = row
                 if (k, i, j) != at:
                     if now and len(now["size"]) > 1:
                         yield from cell(now)
-                    at, now = (k, i, j), {"i": i, "j": j, "size": [], "grp": [], "class": [], "map": [], "block": []}
-                for name, value in (("size", size), ("grp", grp), ("class", cls), ("map", bits), ("block", block)):
+                    at, now = (k, i, j), {"k": k, "i": i, "j": j, "size": [], "grp": [], "class": [], "map": [], "block": [], "keys": []}
+                for name, value in (("size", size), ("grp", grp), ("class", cls), ("map", bits), ("block", block), ("keys", keys)):
                     now[name].append(value)
         if now and len(now["size"]) > 1:
             yield from cell(now)
@@ -321,10 +327,14 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[Dat
     told = tiles.join(groups, F.col("node") == F.col("class"), "left").select("k", "class", F.coalesce("component", "class").alias("grp"))
     mixed = told.groupBy("k").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"), F.count("*").alias("members")).where("g0 <> g1")
     mixed = mixed.select("k", F.ceil(F.col("members") / TILE).cast("int").alias("blocks"))
-    cells = told.join(mixed, "k").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    told = materialise(told.join(mixed, "k"), "ngram-mixed")
+    smallest = told.select("class", "k", F.row_number().over(Window.partitionBy("class").orderBy("k")).alias("r")).where(F.col("r") <= SKETCH)
+    sketches = smallest.groupBy("class").agg(F.array_sort(F.collect_list("k")).alias("keys"))
+    cells = told.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("k", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "grp")
-    cells = cells.join(sets.select("class", "size", "map"), "class").select("k", "i", "j", "block", "class", "grp", "size", "map")
+    sets_with_keys = sets.select("class", "size", "map").join(sketches, "class")
+    cells = cells.join(sets_with_keys, "class").select("k", "i", "j", "block", "class", "grp", "size", "map", "keys")
     cells = cells.repartition(shuffle_partitions(spark), "k", "i", "j").sortWithinPartitions("k", "i", "j")
     pairs = tile_pairs(cells, rule).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     return members, links.unionByName(exact_links(pairs, sets, n, rule, "ngram-tile-links"))

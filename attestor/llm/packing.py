@@ -20,7 +20,7 @@ SALTS = 64
 ROUNDS, STEPS = 3, 150
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int | None = 2, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int | None = 2, with_ids: bool = False, ranks_path: str | None = None) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32[, ids])``: each document's ids, then ``end_id``, cut to at most ``capacity``.
 
     A document that fits is one piece. A longer one is cut into pieces of ``capacity`` tokens, of which the first may be shorter,
@@ -28,7 +28,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = byte_bpe(tokenizer_path)
+        table = byte_bpe(tokenizer_path, ranks_path)
         end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         for batch in batches:
             for at in range(0, len(batch), 256):
@@ -214,10 +214,10 @@ def place(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     return ranked.select(*names, "_rank").mapInPandas(run, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int | None = 2) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int | None = 2, ranks_path: str | None = None) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)`` per piece: every piece once, sequences gapless from 0.
 
     Null text counts as empty; rows with the same doc_id are packed each on their own; an empty table gives no rows; extra columns
     are ignored. Equal lengths are ranked by doc_id, so the same input gives the same packing.
     """
-    return place(materialise(token_pieces(docs, tokenizer_path, capacity, end_id), "pieces"), capacity)
+    return place(materialise(token_pieces(docs, tokenizer_path, capacity, end_id, ranks_path=ranks_path), "pieces"), capacity)

@@ -32,7 +32,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = materialise(token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), "byte_bpe_50k"), "token-counts")
+    counts = materialise(token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), "byte_bpe_50k", tokenizer("byte_bpe_50k.tiktoken")), "token-counts")
     ledger = token_counts.TokenLedger(spark, f"{checkpoint_root(spark)}/attestor/ledger-{uuid.uuid4().hex}")
     changes = token_counts.insertions(counts)
     ledger.commit("documents-1", changes)
@@ -45,7 +45,7 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), 1024, 2)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), 1024, 2, tokenizer("byte_bpe_50k.tiktoken"))
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ KEYS = ("source", "lang", "tokenizer_version")
 TOTALS = ("documents", "tokens", "chars")
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, version: str) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, version: str, ranks_path: str | None = None) -> DataFrame:
     """``(doc_id, source, lang, tokenizer_version, tokens, chars)`` of every document's whole text.
 
     Texts are cut where byte-level pre-tokenisation always cuts; a task tokenises each distinct chunk once and adds lengths up.
@@ -22,7 +22,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, version: str) -> DataFram
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = byte_bpe(tokenizer_path)
+        table = byte_bpe(tokenizer_path, ranks_path)
         for batch in batches:
             for start in range(0, len(batch), 256):
                 part = batch.iloc[start : start + 256]

@@ -14,32 +14,28 @@ MAX_CHUNK_CHARS = 64
 class ChunkTable:
     """Distinct chunks with their ids as little-endian unsigned 32-bit integers.
 
-    ``encode_many`` tokenises a list of chunks. The table is bounded by MAX_CHUNKS entries of MAX_CHUNK_CHARS characters.
+    ``encode_many`` tokenises a list of chunks. The table keeps the first MAX_CHUNKS distinct chunks of up to MAX_CHUNK_CHARS
+    characters that a task meets, which are the frequent ones; others are there for the texts that were learned last alone.
     """
 
     def __init__(self, encode_many: Callable[[list[str]], list[bytes]]):
-        self.encode_many, self.ids = encode_many, {}
+        self.encode_many, self.ids, self.fresh = encode_many, {}, []
 
     def learn(self, texts: Iterable[list[str]]) -> None:
         new = set()
         for chunks in texts:
             new.update(chunks)
         new.difference_update(self.ids)
-        if len(self.ids) + len(new) > MAX_CHUNKS:
-            self.ids = {}
-            new = set()
-            for chunks in texts:
-                new.update(chunks)
+        self.fresh = list(new)
         if new:
-            new = list(new)
-            self.ids.update(zip(new, self.encode_many(new), strict=True))
+            self.ids.update(zip(self.fresh, self.encode_many(self.fresh), strict=True))
 
     def forget(self) -> None:
-        if len(self.ids) > MAX_CHUNKS:
-            self.ids = {}
-        else:
-            for chunk in [x for x in self.ids if len(x) > MAX_CHUNK_CHARS]:
+        full = len(self.ids) > MAX_CHUNKS
+        for chunk in self.fresh:
+            if full or len(chunk) > MAX_CHUNK_CHARS:
                 del self.ids[chunk]
+        self.fresh = []
 
     def joined(self, chunks: list[str]) -> bytes:
         return b"".join(map(self.ids.__getitem__, chunks))
@@ -67,14 +63,30 @@ def blank_chunks(text: str) -> list[str]:
     return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
 
 
-def byte_bpe(path: str) -> ChunkTable:
-    """Chunk table of a byte-level BPE file of the tokenizers library; special strings in a text are special, as by default."""
-    import numpy as np
+def byte_bpe(path: str, ranks_path: str | None = None) -> ChunkTable:
+    """Chunk table of a byte-level BPE file of the tokenizers library; special strings in a text are special, as by default.
+
+    ``ranks_path``: the same vocabulary as ranks for tiktoken, which has less to do for a short chunk; chunks with a special
+    string still go to the tokenizers library. Both give the same ids, as tests confirm.
+    """
+    import base64
+    from array import array
+
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    whole = lambda chunk: array("I", tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+    if ranks_path is None:
+        return ChunkTable(lambda chunks: [whole(c) for c in chunks])
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    with open(ranks_path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode_many(chunks: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(chunks, add_special_tokens=False)]
+        return [whole(c) if any(s in c for s in special) else array("I", fast(c)).tobytes() for c in chunks]
 
     return ChunkTable(encode_many)
