@@ -252,12 +252,13 @@ def exact_links(pairs: DataFrame, sets: DataFrame, n: int, rule: Rule, name: str
     return materialise(texts.mapInPandas(intersected, "a long, b long"), name)
 
 
-def tile_pairs(members: DataFrame, rule: Rule) -> DataFrame:
+def tile_pairs(members: DataFrame, rule: Rule, forest: bool = False) -> DataFrame:
     """Distinct ``(a, b)`` of members of one tile (a key) in different groups whose bit counts allow a link.
 
     ``members``: k, i, j, block, class, grp, size, map, keys, sorted by (k, i, j); a cell (i, j) holds blocks i and j of a tile. ``keys``:
     the SKETCH smallest keys of the member's tiles, in order. Copies share most of their tiles: a pair is given by the tile of its
-    smallest common key alone. Pairs without a common key among these are given by each of their tiles.
+    smallest common key alone. Pairs without a common key among these are given by each of their tiles. ``forest``: as if every
+    pair that the bit counts allow were a link, only pairs that join groups which no pair of the cell has joined before.
     """
 
     def cell(c: dict) -> Iterator[pd.DataFrame]:
@@ -271,6 +272,9 @@ def tile_pairs(members: DataFrame, rule: Rule) -> DataFrame:
                 others = others[block[others] != block[x]]
             mine = set(c["keys"][x].tolist())
             hit = [y for y in others[may_link(rule, n, maps, x, others)].tolist() if next((key for key in c["keys"][y].tolist() if key in mine), k) == k]
+            if forest and hit:
+                hit = [hit[y] for y in np.unique(grp[hit], return_index=True)[1]]
+                grp[np.isin(grp, grp[hit])] = grp[x]
             found_a += [classes[x]] * len(hit)
             found_b += classes[hit].tolist()
         yield pd.DataFrame({"a": np.minimum(found_a, found_b).astype(np.int64), "b": np.maximum(found_a, found_b).astype(np.int64)})
@@ -299,7 +303,8 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[Dat
     2. Stars: every class is compared with the smallest class of the tile that it shares most often, so copies fall into groups
        without all their pairs.
     3. Tiles: in each tile that still has several groups, members of different groups are compared through their bitmaps inside
-       the task, and those that may be linked by their arrays. No link between groups is lost, as all pairs are looked at.
+       the task, and those that may be linked by their arrays. First a forest of such pairs alone, which joins most groups;
+       then all pairs between groups that are still apart, so no link between groups is lost.
     """
     spark, rule = docs.sparkSession, Rule(percent)
     docs = docs.select("doc_id", "text")
@@ -323,21 +328,24 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[Dat
 
     sets = materialise(docs.join(picked, "doc_id").select("class", "text").mapInPandas(described, "class long, size long, map binary, text string").dropDuplicates(["class"]), "ngram-sets")
     links = exact_links(stars, sets, n, rule, "ngram-star-links")
-    groups = connected_components(links)
-    told = tiles.join(groups, F.col("node") == F.col("class"), "left").select("k", "class", F.coalesce("component", "class").alias("grp"))
-    mixed = told.groupBy("k").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"), F.count("*").alias("members")).where("g0 <> g1")
-    mixed = mixed.select("k", F.ceil(F.col("members") / TILE).cast("int").alias("blocks"))
-    told = materialise(told.join(mixed, "k"), "ngram-mixed")
-    smallest = told.select("class", "k", F.row_number().over(Window.partitionBy("class").orderBy("k")).alias("r")).where(F.col("r") <= SKETCH)
-    sketches = smallest.groupBy("class").agg(F.array_sort(F.collect_list("k")).alias("keys"))
-    cells = told.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("k", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "grp")
-    sets_with_keys = sets.select("class", "size", "map").join(sketches, "class")
-    cells = cells.join(sets_with_keys, "class").select("k", "i", "j", "block", "class", "grp", "size", "map", "keys")
-    cells = cells.repartition(shuffle_partitions(spark), "k", "i", "j").sortWithinPartitions("k", "i", "j")
-    pairs = tile_pairs(cells, rule).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    return members, links.unionByName(exact_links(pairs, sets, n, rule, "ngram-tile-links"))
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for forest in (True, False):
+        groups = connected_components(links)
+        told = tiles.join(groups, F.col("node") == F.col("class"), "left").select("k", "class", F.coalesce("component", "class").alias("grp"))
+        mixed = told.groupBy("k").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"), F.count("*").alias("members")).where("g0 <> g1")
+        mixed = mixed.select("k", F.ceil(F.col("members") / TILE).cast("int").alias("blocks"))
+        told = materialise(told.join(mixed, "k"), "ngram-mixed")
+        smallest = told.select("class", "k", F.row_number().over(Window.partitionBy("class").orderBy("k")).alias("r")).where(F.col("r") <= SKETCH)
+        sketches = smallest.groupBy("class").agg(F.array_sort(F.collect_list("k")).alias("keys"))
+        cells = told.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+        cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cells = cells.select("k", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "grp")
+        sets_with_keys = sets.select("class", "size", "map").join(sketches, "class")
+        cells = cells.join(sets_with_keys, "class").select("k", "i", "j", "block", "class", "grp", "size", "map", "keys")
+        cells = cells.repartition(shuffle_partitions(spark), "k", "i", "j").sortWithinPartitions("k", "i", "j")
+        pairs = materialise(tile_pairs(cells, rule, forest).join(tried, ["a", "b"], "left_anti"), "ngram-tile-pairs")
+        links, tried = links.unionByName(exact_links(pairs, sets, n, rule, "ngram-tile-links")), tried.unionByName(pairs)
+    return members, links
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
