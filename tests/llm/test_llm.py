@@ -202,6 +202,27 @@ def test_line_dedup_of_many_near_copies(spark):
     assert found <= 12  # pigeonhole blocks find nearly all; every group keeps one
 
 
+def test_similar_lines_share_a_key(spark):
+    rng, pairs = np.random.default_rng(4), []
+    for n in (5, 6, 7, 8, 9, 10, 11, 13, 15, 20, 30, 40):
+        for edits in {1, n // 5}:
+            for k in range(200):
+                a = [f"w{i}" for i in rng.integers(0, 10**9, n)]
+                b = list(a)
+                for at in rng.choice(n, edits, replace=False):
+                    b[at] = f"w{rng.integers(0, 10**9)}"
+                if k % 4 == 0 and edits == 1 and n > line_dedup.MIN_WORDS:  # a word less is one edit too
+                    at = int(rng.integers(0, n))
+                    b = a[:at] + a[at + 1 :]
+                pairs.append((n, edits, " ".join(a), " ".join(b)))
+    frame = spark.createDataFrame(pairs, "n int, edits int, a string, b string")
+    for side in "ab":
+        frame = line_dedup.with_keys(frame.withColumn("norm", F.col(side))).withColumnRenamed("keys", f"keys_{side}")
+    shares = {(r.n, r.edits): r.share for r in frame.groupBy("n", "edits").agg(F.avg(F.arrays_overlap("keys_a", "keys_b").cast("int")).alias("share")).collect()}
+    print(sorted(shares.items()))
+    assert min(shares.values()) >= 0.9 and all(v == 1 for (n, _), v in shares.items() if n <= line_dedup.ONE_EDIT)
+
+
 # 5: n-gram join
 
 
