@@ -223,6 +223,24 @@ def test_similar_lines_share_a_key(spark):
     assert min(shares.values()) >= 0.9 and all(v == 1 for (n, _), v in shares.items() if n <= line_dedup.ONE_EDIT)
 
 
+def test_long_lines_are_compared_exactly(spark):
+    long = [f"w{i}" for i in range(2000)]
+    new = [f"n{i}" for i in range(450)]
+    pairs = [
+        (new[:150] + long, True),  # 150 of 430 allowed
+        (long[:700] + new[:400] + long[700:], True),
+        (new[:250] + long[:1000] + new[250:] + long[1000:], True),  # 450 of 490
+        (new[:300] + long[300:1800] + new[300:], False),  # 500 replaced or cut, 400 allowed
+        (long[:-400], True),
+        (long[:-401], False),
+        (long, True),
+    ]
+    rows = [(i, " ".join(long), " ".join(other)) for i, (other, _) in enumerate(pairs)]
+    frame = spark.createDataFrame([(i + 100 * k, *ab[:: 1 - 2 * k]) for i, *ab in rows for k in (0, 1)], "i int, a string, b string")
+    found = {r.i: r.ok for r in frame.select("i", line_dedup.edit_similar(line_dedup.coded(F.col("a")), line_dedup.coded(F.col("b"))).alias("ok")).collect()}
+    assert found == {i + 100 * k: ok for i, (_, ok) in enumerate(pairs) for k in (0, 1)}
+
+
 # 5: n-gram join
 
 
