@@ -241,6 +241,17 @@ def test_long_lines_are_compared_exactly(spark):
     assert found == {i + 100 * k: ok for i, (_, ok) in enumerate(pairs) for k in (0, 1)}
 
 
+def test_short_lines_and_lines_without_blanks(spark, tmp_path):
+    from attestor.llm import queries
+
+    han, thai = "我们昨天在城里的老书店买了三本关于历史的书", "ฉนรกประเทศไทยมากเพราะอาหารอรอย"
+    docs = docs_of(spark, [f"Read more\n{han}\n --- \n{thai}", f"read MORE!\n{han.replace('三', '四')}\n --- \nRead less", f"x\n{thai}\n\n今天很好", "今天很坏\nx", None])
+    found = {r.doc_id: r for r in line_dedup.dedup_lines(docs, 1).collect()}
+    assert [found[i].text for i in range(5)] == [f"Read more\n{han}\n --- \n{thai}", " --- \nRead less", "x\n\n今天很好", "今天很坏", None]
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.n_removed for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()} == {0: 0, 1: 2, 2: 1, 3: 1, 4: 0}
+
+
 # 5: n-gram join
 
 
