@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 from .license_registry import KNOWN, SPELLINGS
 
-#: A line that names a copyright holder, or reserves rights. ``(?m)`` so that ``^`` starts a line.
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*"
+#: A line that names a copyright holder, or reserves rights. ``(?m)`` so that ``^`` starts a line. A line of a wrapped licence
+#: that goes on after "copyright", as in "copyright notice", names nobody.
+COPYRIGHT_LINE = (
+    r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b(?![^\p{L}\p{N}©\n]*(?:(?:notices?|holders?|owners?|laws?|licen[cs]es?|statements?|and|or|in)\b|$))"
+    r"|\(c\)|©|all rights reserved)[^\n]*"
+)
+#: The same in the SQL, which has no look-ahead: it also takes out lines that go on after "copyright".
+SQL_COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*"
 NOT_WORD = r"[^\p{L}\p{N}\n]+"
 
 
@@ -67,7 +73,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
 
 def _sql_canonical(text: str) -> str:
-    t = f"regexp_replace(lower({text}), '{COPYRIGHT_LINE}', '', 'g')"
+    t = f"regexp_replace(lower({text}), '{SQL_COPYRIGHT_LINE}', '', 'g')"
     t = f"regexp_replace({t}, '{NOT_WORD}', ' ', 'g')"
     t = f"replace(' ' || replace({t}, chr(10), ' ' || chr(10) || ' ') || ' ', '  ', ' ')"
     for old, new in SPELLINGS:
@@ -76,7 +82,7 @@ def _sql_canonical(text: str) -> str:
 
 
 def oracle_sql() -> str:
-    """The same result of ``documents`` in DuckDB's SQL."""
+    """The same result of ``documents`` in DuckDB's SQL, but for lines that SQL_COPYRIGHT_LINE alone takes out."""
     whole = "trim(regexp_replace(lines, '[ \\n]+', ' ', 'g'))"
     values = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in KNOWN)
     return f"""

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import re
+import textwrap
 import zlib
 from collections import Counter
 from html import escape as html_escape
@@ -170,6 +171,21 @@ def test_licence_sql(spark):
     assert ours == theirs and sum(r[2] is not None for r in ours.values()) == len(KNOWN)
 
 
+@pytest.mark.parametrize("mark", ["", " * "])
+def test_wrapped_licences_are_known(spark, mark):
+    whole = [(i, t) for i, t in KNOWN if len(t) > 300]
+    holders = "Copyright (c) 2020 Someone\n\u00a9 2021 Other\nCopyright OpenJS Foundation and others\nCopyright by A. Holder\nAll rights reserved.\n\n"
+    cases = []
+    for name, text in whole:
+        for width in (20, 40, 60, 65, 70, 72, 76, 78, 80, 100):
+            lines = [w for line in text.split("\n") for w in textwrap.wrap(line, width, break_long_words=False, break_on_hyphens=False) or [""]]
+            cases.append((name, holders + "\n".join(mark + x for x in lines)))
+        cases.append((name, holders + re.sub(r" (?=copyright)", "\n", text, flags=re.I)))
+        cases.append((name, re.sub(r"(?<=copyright) ", "\n", re.sub(r" (?=copyright)", "\n", text, flags=re.I), flags=re.I)))
+    found = {r.doc_id: r.text_license for r in license_scan.scan_licenses(docs_of(spark, [t for _, t in cases])).collect()}
+    assert found == {i: name for i, (name, _) in enumerate(cases)}
+
+
 # 3: lines
 
 
