@@ -29,14 +29,20 @@ def stability_key(chunk_id: Column, text: Column) -> Column:
 
 
 def reciprocal_rank_fusion(lists: list[tuple[str, float, DataFrame]], k: int, id_column: str = "doc_id", constant: int = K) -> DataFrame:
-    """``(query_id, id, score, sources, rank)`` of (name, weight, ranked list with query_id, id, rank).
+    """``(query_id, id, score, sources, details, rank)`` of (name, weight, ranked list with query_id, id, rank, score).
 
     One union and one aggregate by (question, key): the score is the sum of weight / (constant + rank); ``sources`` names the lists
-    that have the key. Ties go to the key as a string.
+    that have the key and ``details`` has each one's rank, score, weight and part, in order of the names. Ties go to the key as
+    a string.
     """
-    rows = [df.select("query_id", id_column, F.lit(name).alias("source"), (F.lit(float(weight)) / (F.lit(constant) + F.col("rank"))).alias("part")) for name, weight, df in lists]
+    rows = []
+    for name, weight, df in lists:
+        own = F.col("score").cast("double") if "score" in df.columns else F.lit(None).cast("double")
+        w = F.lit(float(weight))
+        rows.append(df.select("query_id", id_column, F.struct(F.lit(name).alias("source"), F.col("rank").cast("int").alias("rank"), own.alias("score"), w.alias("weight"), (w / (F.lit(constant) + F.col("rank"))).alias("part")).alias("d")))
     union = reduce(DataFrame.unionByName, rows)
-    fused = union.groupBy("query_id", id_column).agg(F.sum("part").alias("score"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
+    fused = union.groupBy("query_id", id_column).agg(F.sum("d.part").alias("score"), F.array_sort(F.collect_list("d")).alias("details"))
+    fused = fused.withColumn("sources", F.array_join(F.array_distinct(F.transform("details", lambda x: x["source"])), ","))
     return ranked(fused, k, id_column)
 
 

@@ -47,16 +47,17 @@ def report(need_table: DataFrame, evidence_table: DataFrame) -> DataFrame:
     e = evidence_table.groupBy("query_id").agg(F.count(F.when(F.col("relevant"), 1)).alias("n_relevant"))
     told = n.join(e, "query_id", "left").na.fill(0, ["n_relevant"])
     status = F.when(F.col("n_relevant") == 0, "missing").when((F.col("n_required") > 0) & (F.col("n_unresolved") == 0), "sufficient").otherwise("weak")
-    return told.select("query_id", status.alias("status"), F.when(F.col("n_relevant") == 0, F.col("coverage")).otherwise(F.col("coverage")).alias("coverage"), "n_relevant", "n_unresolved")
+    return told.select("query_id", status.alias("status"), "coverage", "n_relevant", "n_unresolved")
 
 
 def arbitrate(prior: DataFrame, proposed: DataFrame) -> DataFrame:
     """Final grades (query_id, rank, relevance, relevant, supports): a proposal can only lower what graders approved.
 
-    Every graded rank must be proposed; ``missing_ranks`` finds those that are not.
+    Every graded rank must be proposed: one that is not ends the query with an error. ``missing_ranks`` finds them beforehand.
     """
     p = proposed.select("query_id", "rank", *[F.col(c).alias(f"p_{c}") for c in ("relevance", "relevant", "supports")])
-    both = prior.join(p, ["query_id", "rank"]).withColumn("shared", F.array_intersect("p_supports", "supports"))
+    whole = F.when(F.col("p_relevance").isNull(), F.raise_error(F.concat(F.lit("no proposal for rank "), F.col("rank").cast("string"))).cast("double")).otherwise(F.col("p_relevance"))
+    both = prior.join(p, ["query_id", "rank"], "left").withColumn("p_relevance", whole).withColumn("shared", F.array_intersect("p_supports", "supports"))
     relevant = F.col("relevant") & F.col("p_relevant") & (F.size("shared") > 0)
     return both.select("query_id", "rank", F.least("relevance", "p_relevance").alias("relevance"), relevant.alias("relevant"), F.when(relevant, F.col("shared")).otherwise(F.array().cast("array<string>")).alias("supports"))
 
@@ -93,7 +94,50 @@ def answer_gate(reports: DataFrame, constraint: DataFrame, evidence: DataFrame)
 
 
 def citations(answers: DataFrame, evidence: DataFrame) -> DataFrame:
-    """``(query_id, rank, label, quote, doc_id)``: evidence that an answer names as ``[rank]``, with the first 500 characters of it."""
+    """``(query_id, position, rank, label, quote, doc_id)``: evidence that an answer names as ``[rank]``, with the first 500 characters of it.
+
+    ``evidence``: query_id, rank, text, doc_id. Evidence that is named but has no text or document keeps its row, with nulls.
+    """
     allowed = evidence.groupBy("query_id").agg(F.collect_set("rank").alias("allowed"))
     named = answers.join(allowed, "query_id").select("query_id", F.posexplode(T.cited_ranks(F.col("answer"), F.col("allowed"))).alias("position", "rank"))
     return named.join(evidence, ["query_id", "rank"]).select("query_id", "position", "rank", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("]")).alias("label"), F.substring("text", 1, 500).alias("quote"), "doc_id")
+
+
+def linked_citations(citations: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Stored ``citations`` (query_id, rank, ...) with the evidence that they name (query_id, rank, text, doc_id); without it: nulls."""
+    return citations.join(evidence.select("query_id", "rank", F.col("doc_id"), F.substring("text", 1, 500).alias("quote")), ["query_id", "rank"], "left")
+
+
+def aggregate_needs(graded: DataFrame) -> DataFrame:
+    """``(query_id, rank, relevance, relevant, supports)`` of evidence graded need by need: ``graded`` (query_id, need_id, rank, score, relevant).
+
+    A piece has the highest score that any need gave it, supports the needs that took it, and is relevant if one did.
+    """
+    took = F.array_sort(F.collect_set(F.when(F.col("relevant"), F.col("need_id"))))
+    return graded.groupBy("query_id", "rank").agg(F.max("score").alias("relevance"), F.max("relevant").alias("relevant"), took.alias("supports"))
+
+
+def overall_status(needs: DataFrame) -> DataFrame:
+    """``(query_id, status, coverage, answerable, partly_answerable, supported, unresolved)`` of needs (need_id, required, coverage, status).
+
+    Sufficient if every required need is supported, missing if no need has any support, else weak. Ids are in order.
+    """
+    ids = lambda which: F.array_sort(F.collect_list(F.when(which, F.col("need_id"))))
+    required, supported = F.col("required"), F.col("status") == "supported"
+    told = needs.groupBy("query_id").agg(
+        F.coalesce(F.avg(F.when(required, F.col("coverage"))), F.lit(1.0)).alias("coverage"),
+        F.count_if(F.col("status") != "missing").alias("_some"),
+        F.count_if(required).alias("_required"),
+        ids(supported).alias("supported"),
+        ids(required & ~supported).alias("unresolved"),
+    )
+    status = F.when(F.col("_some") == 0, "missing").when((F.col("_required") > 0) & (F.size("unresolved") == 0), "sufficient").otherwise("weak")
+    told = told.withColumn("status", status)
+    return told.select("query_id", "status", "coverage", (F.col("status") == "sufficient").alias("answerable"), (F.col("status") == "weak").alias("partly_answerable"), "supported", "unresolved")
+
+
+def unresolved_notes(needs: DataFrame) -> DataFrame:
+    """``(query_id, notes)``: a line ``- need`` for each required need without support, in order of ids; null where all have it."""
+    open_ = F.col("required") & (F.col("status") != "supported")
+    lines = F.transform(F.array_sort(F.collect_list(F.when(open_, F.struct("need_id", "need")))), lambda x: F.concat(F.lit("- "), x["need"]))
+    return needs.groupBy("query_id").agg(F.nullif(F.array_join(lines, "\n"), F.lit("")).alias("notes"))

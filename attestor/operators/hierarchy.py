@@ -40,26 +40,33 @@ def cohesion(points: DataFrame, group: str = "group_id") -> DataFrame:
 def group_chunks(chunks: DataFrame, target: int = TARGET, most: int = MOST_GROUPS) -> DataFrame:
     """``(document_version_id, ordinal, cluster)``: greedy groups of similar chunks of each document (ordinal, vector).
 
-    The seed is the chunk left that is least like the others left; it takes its nearest ones left up to the group size, which is
-    the target or what keeps groups at ``most``. Sequential by nature: one document at a time, in one task.
+    The seed is the chunk left that is least like all others; it takes its nearest ones left up to the group size, which is
+    the target or what keeps groups at ``most``. Groups are numbered by their smallest chunk. Sequential by nature: one document
+    at a time, in one task, which compares a seed at a time, so memory is that of the document's vectors.
     """
 
     def greedy(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("ordinal")
         x = np.array(frame["vector"].tolist(), dtype=np.float64)
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        similarity = x @ x.T
         size = max(target, math.ceil(len(x) / most))
-        means = (similarity.sum(axis=1) - 1) / max(1, len(x) - 1)
-        left, cluster, number = list(range(len(x))), np.zeros(len(x), dtype=int), 0
-        while left:
-            seed = min(left, key=lambda i: (round(means[i], 12), i))
-            others = sorted((i for i in left if i != seed), key=lambda i: (-round(similarity[seed, i], 12), i))
-            taken = [seed, *others[: size - 1]]
-            cluster[taken] = number
-            number += 1
-            left = [i for i in left if i not in set(taken)]
-        return pd.DataFrame({"document_version_id": frame["document_version_id"], "ordinal": frame["ordinal"], "cluster": cluster})
+        # a chunk's similarities to all others add up to its product with the sum of all
+        means = np.round((x @ x.sum(axis=0) - (x * x).sum(axis=1)) / max(1, len(x) - 1), 12)
+        left, cluster, groups = np.ones(len(x), dtype=bool), np.zeros(len(x), dtype=int), 0
+        for seed in np.lexsort((np.arange(len(x)), means)):
+            if not left[seed]:
+                continue
+            left[seed] = False
+            others = np.flatnonzero(left)
+            near = others[np.lexsort((others, -np.round(x[others] @ x[seed], 12)))][: size - 1]
+            left[near] = False
+            cluster[[seed, *near]] = groups
+            groups += 1
+        first = np.full(groups, len(x))
+        np.minimum.at(first, cluster, np.arange(len(x)))
+        place = np.empty(groups, dtype=int)
+        place[np.argsort(first)] = np.arange(groups)
+        return pd.DataFrame({"document_version_id": frame["document_version_id"], "ordinal": frame["ordinal"], "cluster": place[cluster]})
 
     kind = chunks.schema["document_version_id"].dataType.simpleString()
     return chunks.select("document_version_id", "ordinal", "vector").groupBy("document_version_id").applyInPandas(greedy, f"document_version_id {kind}, ordinal int, cluster int")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attestor.functions import text as T
+from attestor.sources.scratch import materialise, small
 
 K1, B = 1.5, 0.75
 #: Decimal places that ranks look at, so that sums in another order rank alike.
@@ -24,41 +27,55 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return questions.select("query_id", F.explode(T.words(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("weight"))
 
 
-def matched_documents(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """``(doc_id, length, hits)`` per document: its words are cut once, and only those that a question has are kept."""
-    wanted = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
-    cut = docs.select("doc_id", T.words(F.col("text")).alias("words"))
-    hits = F.filter("words", lambda w: w.isin(*terms)) if terms else wanted
-    return cut.select("doc_id", F.size("words").alias("length"), hits.alias("hits"))
+@dataclass(frozen=True)
+class Index:
+    """A corpus cut into words once: ``postings`` (term, doc_id, length, tf), ``frequencies`` (term, df), ``size`` (n, mean_length; one row)."""
+
+    postings: DataFrame
+    frequencies: DataFrame
+    size: DataFrame
+
+
+def build_index(docs: DataFrame) -> Index:
+    """The index of ``docs`` (doc_id, text), written to the shared folder. Documents without a word count in n.
+
+    A task counts a document's words before the shuffle; postings lie by document, so scores of a document are added up in the
+    task that reads it.
+    """
+    cut = docs.select("doc_id", T.words(F.col("text")).alias("words")).select("doc_id", F.size("words").alias("length"), F.explode("words").alias("term"))
+    counted = cut.groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
+    postings = materialise(counted.repartition("doc_id").sortWithinPartitions("doc_id"), "postings", keep=True)
+    frequencies = materialise(postings.groupBy("term").agg(F.count("*").alias("df")), "frequencies", keep=True)
+    total = docs.agg(F.count("*").alias("n")).crossJoin(postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words")))
+    size = materialise(total.select("n", (F.col("words") / F.nullif(F.col("n"), F.lit(0))).alias("mean_length")), "size", keep=True)
+    return Index(postings, frequencies, size)
+
+
+def idf() -> Column:
+    return F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
 
 
-def corpus_statistics(docs: DataFrame) -> DataFrame:
+def corpus_statistics(docs: DataFrame | Index) -> DataFrame:
     """``(term, df, idf)`` of every word of the corpus. Documents without a word count in N."""
-    cut = docs.select("doc_id", T.words(F.col("text")).alias("words"))
-    terms = cut.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    total = docs.agg(F.count("*").alias("n"))
-    return terms.join(F.broadcast(total), how="cross").select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    index = docs if isinstance(docs, Index) else build_index(docs)
+    return index.frequencies.join(F.broadcast(index.size), how="cross").select("term", "df", idf().alias("idf"))
 
 
-def bm25_scores(docs: DataFrame, questions: DataFrame) -> DataFrame:
-    """``(query_id, doc_id, score)`` of all positive scores; ``docs`` (doc_id, text), ``questions`` (query_id, question).
+def bm25_scores(docs: DataFrame | Index, questions: DataFrame) -> DataFrame:
+    """``(query_id, doc_id, score)`` of all positive scores; ``docs`` (doc_id, text) or their index, ``questions`` (query_id, question).
 
-    Statistics are those of the whole table, whatever is filtered afterwards. The questions' distinct words go into the plan as
-    literals, and only matching words leave the scan: a row per matching (document, word) is shuffled, not the corpus.
+    Statistics are those of the whole table, whatever is filtered afterwards. The questions' words meet the postings in a join,
+    by broadcast where their count allows it.
     """
-    asked = question_terms(questions)
-    terms = sorted(r[0] for r in asked.select("term").distinct().collect())
-    matched = matched_documents(docs, terms).persist()
-    size = matched.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
-    tf = matched.select("doc_id", "length", F.explode("hits").alias("term")).groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weights = asked.join(df, "term").join(F.broadcast(size), how="cross")
-    weights = weights.select("query_id", "term", "mean_length", (F.col("weight") * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w"))
+    index = docs if isinstance(docs, Index) else build_index(docs)
+    weights = question_terms(questions).join(index.frequencies, "term").join(F.broadcast(index.size), how="cross")
+    weights = weights.select("query_id", "term", "mean_length", (F.col("weight") * idf()).alias("w"))
+    weights = small(materialise(weights, "question-terms", keep=True))
     share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scored = tf.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * share).alias("score"))
+    scored = index.postings.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * share).alias("score"))
     return scored.where("score > 0")
 
 
-def bm25_topk(docs: DataFrame, questions: DataFrame, k: int = 10) -> DataFrame:
+def bm25_topk(docs: DataFrame | Index, questions: DataFrame, k: int = 10) -> DataFrame:
     """``(query_id, doc_id, score, rank)``: the best ``k`` documents of every question."""
     return ranked(bm25_scores(docs, questions), k)

@@ -74,5 +74,56 @@ def keep_or_replace(existing: DataFrame, proposed: DataFrame) -> DataFrame:
     return both.select("query_id", *[pick(c).alias(c) for c in ("document_key", "score", "margin", "confidence")])
 
 
-def name_scores(evidence: DataFrame, question: str = "question", name: str = "title") -> Column:
-    return T.name_overlap(T.informative_tokens(F.col(name)), T.informative_tokens(F.col(question)))
+def name_scores(name: Column, question: Column) -> Column:
+    """How well a document's name fits a question: overlap of the words that tell documents apart."""
+    return T.name_overlap(T.informative_tokens(name), T.informative_tokens(question))
+
+
+def matches_preference(document_id: Column, version_id: Column, names: Column, wanted_id: Column, wanted_versions: Column, wanted_names: Column) -> Column:
+    """Whether evidence is of the preferred document: by ids if both have one, else by one of its versions, else by a common name."""
+    by_version = F.coalesce(F.array_contains(wanted_versions, version_id), F.lit(False))
+    by_name = F.coalesce(F.arrays_overlap(names, wanted_names), F.lit(False))
+    return F.when(document_id.isNotNull() & wanted_id.isNotNull(), document_id == wanted_id).otherwise(by_version | by_name)
+
+
+def passed_through(evidence: DataFrame, top_k: int) -> DataFrame:
+    """The best ``top_k`` rows per question by rank, as a selection without quotas."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return evidence.withColumn("selected_rank", place).where(F.col("selected_rank") <= top_k)
+
+
+def selection_summary(candidates: DataFrame, selected: DataFrame, top_k: int) -> DataFrame:
+    """``(query_id, n_candidates, n_selected, n_documents, relaxed)``: ``relaxed`` if a document has more rows than its quota, as others had too few."""
+    limit = max(1, math.ceil(top_k * UNPREFERRED_MAX))
+    per = selected.groupBy("query_id", "document_key").agg(F.count("*").alias("n"))
+    told = per.groupBy("query_id").agg(F.sum("n").alias("n_selected"), F.count("*").alias("n_documents"), (F.max("n") > limit).alias("relaxed"))
+    return candidates.groupBy("query_id").agg(F.count("*").alias("n_candidates")).join(told, "query_id", "left").na.fill({"n_selected": 0, "n_documents": 0, "relaxed": False})
+
+
+def claim_order(claims: DataFrame, most: int = 3) -> DataFrame:
+    """``(query_id, need_id, position, selected)``: open needs in the order they are worked at, of which the first ``most`` now.
+
+    ``claims``: query_id, need_id, coverage, status. Missing ones come first, then the least covered, then by id.
+    """
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy((F.col("status") != "missing").cast("int"), "coverage", "need_id"))
+    return claims.where("status <> 'supported'").select("query_id", "need_id", place.alias("position"), (place <= most).alias("selected"))
+
+
+def rerank(evidence: DataFrame, score: str = "rerank_score", k: int | None = None) -> DataFrame:
+    """``evidence`` (query_id, rank, and a scorer's column) in the scorer's order, with ``original_rank``, ``score_used`` and ``fallback``.
+
+    Any column can be the scorer, so a model's Pandas UDF plugs in here. Scores count within 0 to 1. A row without a score gets
+    ``(n - rank + 1) / n`` and stands behind all that have one. Ties keep their order.
+    """
+    n = F.count("*").over(Window.partitionBy("query_id"))
+    place = F.least(F.greatest(F.col("rank"), F.lit(1)), n)
+    missing = F.col(score).isNull() | F.isnan(score)
+    told = evidence.withColumn("fallback", missing).withColumn("score_used", F.when(missing, (n - place + 1) / n).otherwise(F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0))))
+    order = Window.partitionBy("query_id").orderBy("fallback", F.round("score_used", 9).desc(), "rank")
+    told = told.withColumn("original_rank", F.col("rank")).withColumn("_place", F.row_number().over(order)).withColumn("rank", F.col("_place")).drop("_place")
+    return told.where(F.col("rank") <= k) if k else told
+
+
+def rerank_summary(reranked: DataFrame) -> DataFrame:
+    """``(query_id, n_candidates, n_fallbacks, n_moved)`` of a reranking."""
+    return reranked.groupBy("query_id").agg(F.count("*").alias("n_candidates"), F.count_if("fallback").alias("n_fallbacks"), F.count_if(F.col("rank") != F.col("original_rank")).alias("n_moved"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .lexical import PLACES, ranked
 
-#: Questions that are held against the points in one pass.
-BLOCK = 4096
+#: Rows of a tile at most, and rows for which another task is worth while.
+TILE, LEAST = 4096, 512
 
 
 def cosine(a, b):
@@ -24,46 +24,48 @@ def cosine(a, b):
 def knn_topk(points: DataFrame, questions: DataFrame, k: int = 10, same: bool = True) -> DataFrame:
     """``(query_id, doc_id, score, rank)``: the ``k`` points (doc_id, vector) nearest to each question (query_id, vector).
 
-    Questions go to the tasks in blocks of BLOCK; every task multiplies its points with them and keeps its own best ``k`` per
-    question, so at most tasks times questions times ``k`` rows are shuffled. Points without a vector, or of length 0, are
-    invisible. ``same`` keeps points whose id is the question's.
+    Points and questions are dealt to tiles of TILE at most, and each pair of tiles meets in one task, which multiplies them and
+    keeps the best ``k`` per question. So no side is collected or broadcast whole, and tiles of points times questions times
+    ``k`` rows are shuffled. Points without a vector, or of length 0, are invisible. Without ``same`` a point whose id is the
+    question's is left out before the best are chosen.
     """
-    asked = questions.where("vector is not null").orderBy("query_id").toPandas()
-    parts = []
-    for start in range(0, max(1, len(asked)), BLOCK):
-        part = asked.iloc[start : start + BLOCK]
-        q = np.array(part["vector"].tolist(), dtype=np.float64).reshape(len(part), -1)
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        ids = part["query_id"].to_numpy()
+    points, questions = points.where("vector is not null"), questions.where("vector is not null")
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    rows, asked = points.count(), questions.count()
+    across = max(1, math.ceil(asked / TILE))
+    # few points are dealt to all cores
+    down = max(math.ceil(rows / TILE), min(cores, math.ceil(rows / LEAST)), 1)
+    tile = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = points.select(tile("doc_id", down).alias("i"), all_of(across).alias("j"), "doc_id", "vector")
+    right = questions.select(all_of(down).alias("i"), tile("query_id", across).alias("j"), "query_id", "vector")
 
-        def run(batches: Iterator[pd.DataFrame], q=q, ids=ids) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if not len(ids) or not len(batch):
-                    continue
-                x = np.array(batch["vector"].tolist(), dtype=np.float64)
-                norm = np.linalg.norm(x, axis=1)
-                x, names = x[norm > 0] / norm[norm > 0][:, None], batch["doc_id"].to_numpy()[norm > 0]
-                order = np.array([str(n) for n in names])
-                scores = np.round(q @ x.T, PLACES + 3)
-                for i, query in enumerate(ids):
-                    # all that are as good as the k-th, so that ties are settled by id later on
-                    s = scores[i]
-                    if len(s) > k:
-                        least = np.round(np.partition(s, len(s) - k)[len(s) - k], PLACES)
-                        keep = np.flatnonzero(np.round(s, PLACES) >= least)
-                        keep = keep[np.lexsort((order[keep], -np.round(s[keep], PLACES)))][: k + 1]
-                    else:
-                        keep = np.arange(len(s))
-                    if not same:
-                        keep = keep[names[keep] != query]
-                    yield pd.DataFrame({"query_id": query, "doc_id": names[keep], "score": s[keep]})
+    def units(frame: pd.DataFrame) -> np.ndarray:
+        x = np.array(frame["vector"].tolist(), dtype=np.float64)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
-        schema = f"query_id {questions.schema['query_id'].dataType.simpleString()}, doc_id {points.schema['doc_id'].dataType.simpleString()}, score double"
-        parts.append(points.where("vector is not null").select("doc_id", "vector").mapInPandas(run, schema))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return ranked(found, k)
+    def best(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        p = p[[np.any(v) for v in p["vector"]]]
+        if not len(p) or not len(q):
+            return pd.DataFrame({"query_id": q["query_id"].iloc[:0], "doc_id": p["doc_id"].iloc[:0], "score": np.zeros(0)})
+        ids, names = q["query_id"].to_numpy(), p["doc_id"].to_numpy()
+        scores = units(q) @ units(p).T
+        told = np.round(scores, PLACES)
+        if not same:
+            told[ids[:, None] == names[None, :]] = -np.inf
+        order = np.array([str(n) for n in names])
+        rows, columns = [], []
+        for i, s in enumerate(told):
+            # all that are as good as the k-th, so that ties are settled by id
+            keep = np.flatnonzero((s >= np.partition(s, -k)[-k] if len(s) > k else True) & (s > -np.inf))
+            keep = keep[np.lexsort((order[keep], -s[keep]))][:k]
+            rows.append(np.full(len(keep), i))
+            columns.append(keep)
+        rows, columns = np.concatenate(rows), np.concatenate(columns)
+        return pd.DataFrame({"query_id": ids[rows], "doc_id": names[columns], "score": scores[rows, columns]})
+
+    schema = f"query_id {questions.schema['query_id'].dataType.simpleString()}, doc_id {points.schema['doc_id'].dataType.simpleString()}, score double"
+    return ranked(left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, schema), k)
 
 
 def embed_documents(docs: DataFrame, size: int) -> DataFrame:

@@ -66,7 +66,7 @@ def name_predicate(names: tuple[str, ...], columns: tuple[str, ...] = ("title",
     if not names:
         return F.lit(True)
     wanted = F.array(*[T.document_name(F.lit(n)) for n in names])
-    own = F.array_compact(F.array(*[T.document_name(F.col(c)) for c in columns]))
+    own = T.known_names([F.col(c) for c in columns if c.endswith("_normalized")], [F.col(c) for c in columns if not c.endswith("_normalized")])
     return F.arrays_overlap(own, wanted)
 
 
@@ -125,3 +125,52 @@ def constraint_report(questions: DataFrame, evidence: DataFrame, c: Constraints)
     counts = questions.select("query_id").join(evidence.groupBy("query_id").agg(F.count("*").alias("n_candidates")), "query_id", "left").join(kept, "query_id", "left").na.fill(0, ["n_candidates", "n_matched"])
     status = F.when(F.lit(not c.active), "not_requested").when(F.col("n_matched") > 0, "matched").otherwise("no_match")
     return counts.withColumn("status", status)
+
+
+def matching_dates(c: Constraints) -> Column:
+    """Names of the dates that satisfy the question's range on any recorded date, published first."""
+    if not c.any_recorded:
+        return F.array().cast("array<string>")
+    return F.array_compact(F.array(*[F.when(within(F.col(d), c.any_recorded), F.lit(d)) for d in ("published_at", "uploaded_at")]))
+
+
+def describe(c: Constraints) -> str:
+    """What a question restricts evidence to, as a line for people."""
+    parts = [f"documents named {', '.join(c.names)}"] if c.names else []
+    if c.mode not in ("none", "all"):
+        parts.append(f"versions {', '.join(map(str, c.versions))}" if c.versions else f"versions: {c.mode.replace('_', ' ')}")
+    for name, bounds in (("published", c.published), ("uploaded", c.uploaded), ("published or uploaded", c.any_recorded)):
+        if bounds:
+            ends = [f"from {bounds[0]:%Y-%m-%d}"] * (bounds[0] is not None) + [f"before {bounds[1]:%Y-%m-%d}"] * (bounds[1] is not None)
+            parts.append(f"{name} {' '.join(ends)}")
+    return "; ".join(parts) or "no restriction"
+
+
+def inherited(need: Constraints | None, question: Constraints) -> Constraints:
+    """A need's own constraints part by part, else those of its question."""
+    if need is None:
+        return question
+    own_mode = need.mode != "none"
+    return Constraints(
+        names=need.names or question.names,
+        mode=need.mode if own_mode else question.mode,
+        versions=need.versions if own_mode else question.versions,
+        published=need.published or question.published,
+        uploaded=need.uploaded or question.uploaded,
+        any_recorded=need.any_recorded or question.any_recorded,
+    )
+
+
+def window_keys(document_id: Column, names: list[Column], version: Column) -> tuple[Column, Column]:
+    """Document and number that versions are compared by: the id, else the first name there is, else one for all unknown ones; a whole number or nothing."""
+    key = F.coalesce(document_id.cast("string"), *[F.nullif(F.trim(n), F.lit("")) for n in names], F.lit("unknown-document"))
+    return key, F.when(version.cast("string").rlike(r"^\s*\d+\s*$"), F.trim(version.cast("string")).try_cast("int"))
+
+
+def payload_predicate(**wanted: tuple) -> Column:
+    """Rows whose columns have one of the wanted values each; a column without wanted values is not asked."""
+    keep = F.lit(True)
+    for name, values in wanted.items():
+        if values:
+            keep = keep & F.col(name).isin(*values)
+    return keep

@@ -1,7 +1,7 @@
 """Registered queries of the library over the driver's tables, and their SQL twins."""
 
-from . import evaluation, evidence, retrieval, text, understanding
+from . import evaluation, evidence, planning, retrieval, text, understanding
 
-_PARTS = (text, retrieval, evidence, evaluation, understanding)
+_PARTS = (text, retrieval, evidence, evaluation, understanding, planning)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

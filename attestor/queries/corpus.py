@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.operators import lexical, registry
+from attestor.sources.scratch import materialise
 from attestor.sources.tables import table
 
+#: Hits of a question that are kept as a table.
+MOST = 40
 WORDS_SQL = r"regexp_extract_all(replace(lower({}), 'ß', 'ss'), '[\p{{L}}\p{{N}}_]+')"
 
 
@@ -15,7 +20,31 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small table is one file and one task; texts are dealt to all cores before regular expressions run over them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    return docs.repartition(cores) if len(docs.inputFiles()) == 1 else docs
+
+
+_kept: dict[tuple, object] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], object]) -> object:
+    """What ``build`` made of these tables before in this session; a table whose files are others is built anew."""
+    key = (spark.sparkContext.applicationId, name, *sorted(table(spark, sf_dir, "documents").inputFiles()), *sorted(table(spark, sf_dir, "benchmark").inputFiles()))
+    if key not in _kept:
+        _kept[key] = build()
+    return _kept[key]
+
+
+def index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    """The word index of all documents, which is a table that all lexical queries read."""
+    return kept(spark, sf_dir, "index", lambda: lexical.build_index(documents(spark, sf_dir)))
+
+
+def lexical_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """Best documents of every question by BM25: the best MOST are a table, of which a query takes its ``k``."""
+    if k > MOST:
+        raise ValueError(f"at most {MOST}")
+    found = kept(spark, sf_dir, "hits", lambda: materialise(lexical.bm25_topk(index(spark, sf_dir), questions(spark, sf_dir), MOST), "hits", keep=True))
+    return found.where(F.col("rank") <= k)
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,8 +78,7 @@ VERSIONS_SQL = """versions as (
 
 def candidates(spark: SparkSession, sf_dir: str, k: int = 40) -> DataFrame:
     """Evidence of every question: its best ``k`` documents by BM25 with their version data."""
-    hits = lexical.bm25_topk(documents(spark, sf_dir), questions(spark, sf_dir), k)
-    return hits.join(versions(spark, sf_dir), "doc_id")
+    return lexical_hits(spark, sf_dir, k).join(versions(spark, sf_dir), "doc_id")
 
 
 BM25_SQL = rf"""cut as materialized (select doc_id, {WORDS_SQL.format("text")} as words from documents),

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from attestor.functions import text as T
 from attestor.operators import evaluation as E
-from attestor.operators import lexical
 from attestor.sources.tables import table
 
 from . import corpus
@@ -28,7 +27,7 @@ def _cases(spark, d):
     """Each benchmark passage is a case that expects its own text in the evidence; evidence is its BM25 result."""
     q = corpus.questions(spark, d)
     expectations = q.select(F.col("query_id").alias("case_id"), F.lit(0).alias("expectation_id"), F.lit(None).cast("string").alias("document_id"), F.array("question").alias("fragments"))
-    hits = lexical.bm25_topk(corpus.documents(spark, d), q, 10).join(table(spark, d, "documents").select("doc_id", "text", "source"), "doc_id")
+    hits = corpus.lexical_hits(spark, d, 10).join(table(spark, d, "documents").select("doc_id", "text", "source"), "doc_id")
     evidence = hits.select(F.col("query_id").alias("case_id"), "rank", F.col("source").alias("document_id"), "text", "doc_id")
     return q.select(F.col("query_id").alias("case_id")), expectations, evidence, E.expectation_matches(expectations, evidence)
 

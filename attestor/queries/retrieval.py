@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attestor.operators import fusion, hierarchy, lexical, vectors
+from attestor.sources.scratch import materialise
 from attestor.sources.tables import table
 
 from . import corpus
@@ -25,12 +26,12 @@ def query(name: str, sql: str | None = None):
 @query("bm25_stats", rf"""with t as (select distinct doc_id, unnest({corpus.WORDS_SQL.format("text")}) as term from documents), n as (select count(*) as n from documents)
     select term, count(*) as df, round(ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 6) as idf from t cross join n group by 1""")
 def _(spark, d):
-    return lexical.corpus_statistics(corpus.documents(spark, d)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return lexical.corpus_statistics(corpus.index(spark, d)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("bm25_topk", f"with {corpus.BM25_SQL} select query_id, doc_id, rank, round(score, 6) as score from bm25 where rank <= 10")
 def bm25_topk(spark, d):
-    found = lexical.bm25_topk(corpus.documents(spark, d), corpus.questions(spark, d), 10)
+    found = lexical.bm25_topk(corpus.index(spark, d), corpus.questions(spark, d), 10)
     return found.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
@@ -69,7 +70,7 @@ DENSE_SQL = f"""{EMBED_SQL.format("d", "doc_id", "documents")}, {EMBED_SQL.forma
 
 
 def dense(spark, d, k):
-    docs = vectors.embed_documents(corpus.documents(spark, d), 64)
+    docs = corpus.kept(spark, d, "vectors", lambda: materialise(vectors.embed_documents(corpus.documents(spark, d), 64), "vectors", keep=True))
     asked = vectors.embed_documents(corpus.questions(spark, d).toDF("doc_id", "text"), 64).withColumnRenamed("doc_id", "query_id")
     return vectors.knn_topk(docs, asked, k)
 
@@ -81,7 +82,7 @@ def _fused_sql(weights: tuple[float, float], wide: int, k: int) -> str:
 
 
 def _fused(spark, d, weights, wide, k):
-    lists = [("vector", weights[0], dense(spark, d, wide)), ("keyword", weights[1], lexical.bm25_topk(corpus.documents(spark, d), corpus.questions(spark, d), wide))]
+    lists = [("vector", weights[0], dense(spark, d, wide)), ("keyword", weights[1], corpus.lexical_hits(spark, d, wide))]
     found = fusion.reciprocal_rank_fusion(lists, k)
     return found.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"), "sources")
 
@@ -100,7 +101,7 @@ def _(spark, d):
     fused as (select query_id, doc_id, sum(w / (60 + rank)) as score, count(distinct variant) as matches from hits group by all)
     select query_id, doc_id, rank, round(score, 9) as score, matches from (select *, row_number() over (partition by query_id order by round(score, 9) desc, cast(doc_id as varchar)) as rank from fused) where rank <= 10""")
 def _(spark, d):
-    first = lexical.bm25_topk(corpus.documents(spark, d), corpus.questions(spark, d), 20).withColumn("variant", F.lit(0))
+    first = corpus.lexical_hits(spark, d, 20).withColumn("variant", F.lit(0))
     second = dense(spark, d, 20).withColumn("variant", F.lit(1))
     found = fusion.fuse_variants(first.unionByName(second), 10)
     return found.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"), "matches")
