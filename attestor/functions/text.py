@@ -22,6 +22,8 @@ GENERIC_NAME_WORDS = (
 )
 # Suffixes that are no part of a document's name.
 NAME_SUFFIX = r"(?i)\.(?:pdf|md|markdown|txt|doc|docx|rtf|odt|html?|csv|json|ya?ml)$"
+# Quotes that may enclose a name.
+QUOTED = "(?s)^(?:\"(.*)\"|'(.*)'|`(.*)`|\u201c(.*)\u201d|\u2018(.*)\u2019)$"
 # Words that introduce a version number at the end of a name.
 VERSION_SUFFIX = r"(?:(?: (?:draft|version|ver|revision|rev|release|edition|copy) ?\d+(?: \d+)*| v\d+(?: \d+)*))+$"
 
@@ -63,13 +65,26 @@ def safe_filename(name: Column) -> Column:
     return F.when(F.coalesce(safe, F.lit("")) == "", F.lit("upload")).otherwise(safe)
 
 
-def document_name(name: Column) -> Column:
-    """Title or file name for exact comparison: last path part, no known suffix, folded, single spaces."""
+def unquoted(name: Column) -> Column:
+    """A name with single blanks and without the one pair of quotes that encloses it."""
     clean = normalize_text(name)
+    inside = F.concat(*[F.regexp_extract(clean, QUOTED, i) for i in range(1, 6)])
+    return F.when(clean.rlike(QUOTED), F.trim(inside)).otherwise(clean)
+
+
+def document_name(name: Column) -> Column:
+    """Title or file name for exact comparison: no quotes around it, last path part, no known suffix, folded, single spaces."""
+    clean = unquoted(name)
     last = F.regexp_extract(F.regexp_replace(clean, r"[\\/]+$", ""), r"([^\\/]*)$", 1)
     return F.trim(F.regexp_replace(folded(F.regexp_replace(last, NAME_SUFFIX, "")), r"[^\p{L}\p{N}]+", " "))
 
 
+def known_names(normalized: list[Column], raw: list[Column]) -> Column:
+    """Distinct names that a row goes by: columns that hold names for comparison already, and titles or file names as they were given."""
+    told = [F.lower(normalize_text(c)) for c in normalized] + [document_name(c) for c in raw]
+    return F.array_distinct(F.array_compact(F.array(*[F.nullif(c, F.lit("")) for c in told])))
+
+
 def document_identity(name: Column) -> Column:
     """Stem of a title or file name: the last suffix goes (also a title's, such as ``.1``), separators are single spaces."""
     last = F.regexp_extract(F.trim(name), r"([^/]*)$", 1)

@@ -18,7 +18,8 @@ PLACES = 9
 
 def ranked(scored: DataFrame, k: int, id_column: str = "doc_id", by: str = "query_id") -> DataFrame:
     """The ``k`` best rows per question with ``rank`` from 1; ties go to the smaller id as a string. Tasks drop all but their best k first."""
-    order = Window.partitionBy(by).orderBy(F.round("score", PLACES).desc(), F.col(id_column).cast("string"))
+    # adding 0 makes one zero of both
+    order = Window.partitionBy(by).orderBy((F.round("score", PLACES) + F.lit(0.0)).desc(), F.col(id_column).cast("string"))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

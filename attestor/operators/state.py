@@ -86,7 +86,8 @@ def merged_phrase(base: Column, requirement: Column, noise: tuple[str, ...]) ->
     words = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_-]+"), F.lit(0))
     lower = F.transform(words(base), lambda w: F.lower(w))
     new = F.filter(words(requirement), lambda w: ~F.lower(w).isin(*noise) & ~F.array_contains(lower, F.lower(w)))
-    return F.trim(F.concat_ws(" ", base, F.array_join(F.array_distinct(new), " ")))
+    once = F.filter(new, lambda w, i: F.array_position(F.transform(new, lambda x: F.lower(x)), F.lower(w)) == i + 1)
+    return F.trim(F.concat_ws(" ", base, F.array_join(once, " ")))
 
 
 def middle_cut(text: Column, most: int, marker: str = " [...] ") -> Column:

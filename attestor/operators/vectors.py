@@ -50,7 +50,7 @@ def knn_topk(points: DataFrame, questions: DataFrame, k: int = 10, same: bool =
             return pd.DataFrame({"query_id": q["query_id"].iloc[:0], "doc_id": p["doc_id"].iloc[:0], "score": np.zeros(0)})
         ids, names = q["query_id"].to_numpy(), p["doc_id"].to_numpy()
         scores = units(q) @ units(p).T
-        told = np.round(scores, PLACES)
+        told = np.round(scores, PLACES) + 0.0
         if not same:
             told[ids[:, None] == names[None, :]] = -np.inf
         order = np.array([str(n) for n in names])

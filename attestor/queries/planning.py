@@ -17,7 +17,7 @@ from . import corpus, evidence, retrieval
 
 QUERIES, ORACLE_SQL = {}, {}
 _MAY = (datetime(2020, 3, 1), datetime(2020, 6, 1))
-_KEY = "row_number() over (partition by query_id order by round(score, 9) desc, cast(doc_id as varchar))"
+_KEY = "row_number() over (partition by query_id order by round(score, 9) + 0.0 desc, cast(doc_id as varchar))"
 
 
 def query(name: str, sql: str | None = None):
@@ -43,7 +43,8 @@ def _told(df, *more):
 
 def _hybrid_sql(allowed: str, wide: int, k: int) -> str:
     """CTEs ``fused`` (query_id, doc_id, score, rank) of BM25 and dense hits inside a predicate on doc_id."""
-    return f"""kw as materialized (select query_id, doc_id, {_KEY} as rank from scored where score > 0 and {allowed}), dn as materialized (select query_id, doc_id, {_KEY} as rank from dense where {allowed}),
+    return f"""kw as materialized (select query_id, doc_id, {_KEY} as rank from scored where score > 0 and {allowed}), pairs_ as materialized (select query_id, doc_id, coalesce(score, 0) as score from (select distinct id as query_id from vectors_q) cross join (select distinct id as doc_id from vectors_d) left join dense using (query_id, doc_id)),
+        dn as materialized (select query_id, doc_id, {_KEY} as rank from pairs_ where {allowed}),
         fused as materialized (select *, {_KEY} as rank from (select query_id, doc_id, sum(1.0 / (60 + rank)) as score from (select * from kw where rank <= {wide} union all select * from dn where rank <= {wide}) group by all) qualify rank <= {k})"""
 
 
@@ -118,7 +119,7 @@ def _(spark, d):
 
 
 @query("rrf_details", f"""with {corpus.BM25_SQL}, {retrieval.DENSE_SQL}, hits as (select query_id, doc_id, rank, score, 'keyword' as source from bm25 where rank <= 20 union all select query_id, doc_id, rank, score, 'vector' from dense where rank <= 20),
-    f as (select query_id, doc_id, sum(1.0 / (60 + rank)) as score from hits group by all qualify {_KEY} <= 5) select query_id, doc_id, source, h.rank as source_rank, round(h.score, 6) as source_score from f join hits h using (query_id, doc_id)""")
+    f as (select * from (select query_id, doc_id, sum(1.0 / (60 + rank)) as score from hits group by all) qualify {_KEY} <= 5) select query_id, doc_id, source, h.rank as source_rank, round(h.score, 6) as source_score from f join hits h using (query_id, doc_id)""")
 def _(spark, d):
     lists = [("vector", 1.0, retrieval.dense(spark, d, 20)), ("keyword", 1.0, corpus.lexical_hits(spark, d, 20))]
     found = fusion.reciprocal_rank_fusion(lists, 5).select("query_id", "doc_id", F.explode("details").alias("x"))
@@ -243,7 +244,7 @@ def _(spark, d):
     return selection.selection_summary(e, selection.balance(e, 10), 10)
 
 
-@query("passed_through", f"with {corpus.evidence_sql()} select query_id, doc_id, row_number() over (partition by query_id order by rank) as rank from evidence where rank % 2 = 1 qualify rank <= 7")
+@query("passed_through", f"with {corpus.evidence_sql()} select query_id, doc_id, r as rank from (select *, row_number() over (partition by query_id order by rank) as r from evidence where rank % 2 = 1) where r <= 7")
 def _(spark, d):
     kept = selection.passed_through(corpus.candidates(spark, d).where("rank % 2 = 1"), 7)
     return kept.select("query_id", "doc_id", F.col("selected_rank").cast("long").alias("rank"))
