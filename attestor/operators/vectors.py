@@ -38,18 +38,19 @@ def knn_topk(points: DataFrame, questions: DataFrame, k: int = 10, same: bool =
     tile = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = points.select(tile("doc_id", down).alias("i"), all_of(across).alias("j"), "doc_id", "vector")
-    right = questions.select(all_of(down).alias("i"), tile("query_id", across).alias("j"), "query_id", "vector")
+    right = questions.select(all_of(down).alias("i"), tile("query_id", across).alias("j"), "query_id", F.col("vector").alias("asked"))
 
-    def units(frame: pd.DataFrame) -> np.ndarray:
-        x = np.array(frame["vector"].tolist(), dtype=np.float64)
+    def units(vectors: pd.Series) -> np.ndarray:
+        x = np.array(vectors.tolist(), dtype=np.float64)
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
     def best(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        p = p[[np.any(v) for v in p["vector"]]]
+        if len(p):
+            p = p[np.array([np.any(v) for v in p["vector"]], dtype=bool)]
         if not len(p) or not len(q):
-            return pd.DataFrame({"query_id": q["query_id"].iloc[:0], "doc_id": p["doc_id"].iloc[:0], "score": np.zeros(0)})
+            return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
         ids, names = q["query_id"].to_numpy(), p["doc_id"].to_numpy()
-        scores = units(q) @ units(p).T
+        scores = units(q["asked"]) @ units(p["vector"]).T
         told = np.round(scores, PLACES) + 0.0
         if not same:
             told[ids[:, None] == names[None, :]] = -np.inf

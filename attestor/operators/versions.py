@@ -141,7 +141,7 @@ def describe(c: Constraints) -> str:
         parts.append(f"versions {', '.join(map(str, c.versions))}" if c.versions else f"versions: {c.mode.replace('_', ' ')}")
     for name, bounds in (("published", c.published), ("uploaded", c.uploaded), ("published or uploaded", c.any_recorded)):
         if bounds:
-            ends = [f"from {bounds[0]:%Y-%m-%d}"] * (bounds[0] is not None) + [f"before {bounds[1]:%Y-%m-%d}"] * (bounds[1] is not None)
+            ends = [f"{word} {end:%Y-%m-%d}" for word, end in zip(("from", "before"), bounds, strict=True) if end is not None]
             parts.append(f"{name} {' '.join(ends)}")
     return "; ".join(parts) or "no restriction"
 
