@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_BYTES, materialise, shuffle_partitions, without
+from .common import materialise, scratch, shuffle_partitions, small, without
 from .components import connected_components
 
 #: A size band reaches from a size to 7/5 of it.
 BAND_NUM, BAND_DEN = 7, 5
 #: Members of a tile that one task compares at once; larger tiles are cut into squares of so many by so many.
 TILE = 2048
+#: Members from which on a cell's maps are compared many at once.
+LARGE = 256
 #: Smallest keys by which two members of several tiles agree in which one they are compared.
 SKETCH = 32
 #: Word hashes a task remembers at most.
@@ -133,8 +135,29 @@ def bitmap(hashes: np.ndarray) -> bytes:
 
 
 def _folded(bits: np.ndarray, width: int) -> np.ndarray:
-    """A bitmap of ``width`` words from a wider one: bit i of all its pieces together."""
-    return np.bitwise_or.reduce(bits.reshape(-1, width), axis=0) if len(bits) > width else bits
+    """Bitmaps (the last axis) of ``width`` words from wider ones: bit i of all pieces of a map together."""
+    if bits.shape[-1] <= width:
+        return bits
+    return np.bitwise_or.reduce(bits.reshape(*bits.shape[:-1], -1, width), axis=-2)
+
+
+def most_common(na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Upper bounds of the overlaps of sets of these sizes and bitmaps: bits in one map alone are elements of one set alone."""
+    width = min(a.shape[-1], b.shape[-1])
+    a, b = _folded(a, width), _folded(b, width)
+    return np.minimum(na - np.bitwise_count(a & ~b).sum(axis=-1, dtype=np.int64), nb - np.bitwise_count(b & ~a).sum(axis=-1, dtype=np.int64))
+
+
+def bits_in_common(na: int, nb: int, a: bytes, b: bytes) -> int:
+    """``most_common`` of two sets alone: their maps are whole numbers, the wider one folded in halves."""
+    x, y, width = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * min(len(a), len(b))
+    for half in (4 * max(len(a), len(b)) >> i for i in range(64)):
+        if half < width:
+            break
+        low = (1 << half) - 1
+        x, y = (x >> half | x & low, y) if len(a) > len(b) else (x, y >> half | y & low)
+    both = x & y
+    return min(na - x.bit_count(), nb - y.bit_count()) + both.bit_count()
 
 
 def may_link(rule: Rule, n: np.ndarray, maps: list[np.ndarray], i: int, others: np.ndarray) -> np.ndarray:
@@ -143,9 +166,12 @@ def may_link(rule: Rule, n: np.ndarray, maps: list[np.ndarray], i: int, others:
         return np.zeros(0, dtype=bool)
     width = min(len(maps[i]), *(len(maps[j]) for j in others))
     mine, theirs = _folded(maps[i], width), np.stack([_folded(maps[j], width) for j in others])
-    a, b = n[i], n[others]
-    both = np.minimum(a - np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64), b - np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64))
-    return rule.enough(both, a, b)
+    return rule.enough(most_common(n[i], n[others], mine, theirs), n[i], n[others])
+
+
+def class_of(hashes: np.ndarray) -> int:
+    """A 64-bit digest of a whole set, so equal sets are one class; 0 for the empty one."""
+    return int(np.int64(xxhash.xxh3_64_intdigest(hashes.tobytes(), seed=len(hashes)) - (1 << 63))) if len(hashes) else 0
 
 
 def shingle_rows(docs: DataFrame, n: int, rule: Rule) -> DataFrame:
@@ -158,7 +184,7 @@ def shingle_rows(docs: DataFrame, n: int, rule: Rule) -> DataFrame:
             ids, classes, sizes, keys, owners = [], [], [], [], []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
                 hashes = shingles(text)
-                digest = int(np.int64(xxhash.xxh3_64_intdigest(hashes.tobytes(), seed=len(hashes)) - (1 << 63))) if len(hashes) else 0
+                digest = class_of(hashes)
                 ids.append(doc)
                 classes.append(digest)
                 sizes.append(len(hashes))
@@ -187,60 +213,59 @@ def shingle_rows(docs: DataFrame, n: int, rule: Rule) -> DataFrame:
 def shared_rows(rows: DataFrame, partitions: int) -> DataFrame:
     """Of rows dealt by key, the document rows and the distinct (key, class) rows of keys with two classes at least.
 
-    A task sorts what it was dealt by key, which is a share of the whole; keys that one class alone has end here.
+    Spark sorts what a task was dealt, by key and class, and the task reads it in order with one row kept back, so a key of any
+    number of rows needs no more memory than another. Keys that one class alone has end here.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, classes = [], []
+        last: tuple[int, int, bool] | None = None  # key, class, and whether the key had another class before
         for batch in batches:
             is_doc = batch["size"].notna()
-            docs = batch[is_doc]
-            if len(docs):
-                yield docs
-            rest = batch[~is_doc]
-            keys.append(rest["k"].to_numpy(np.int64))
-            classes.append(rest["class"].to_numpy(np.int64))
-        if not keys:
-            return
-        k, c = np.concatenate(keys), np.concatenate(classes)
-        keys, classes = [], []
-        order = np.lexsort((c, k))
-        k, c = k[order], c[order]
-        if not len(k):
-            return
-        fresh = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])]
-        k, c = k[fresh], c[fresh]
-        same = k[1:] == k[:-1]
-        shared = np.r_[same, False] | np.r_[False, same]
-        k, c = k[shared], c[shared]
-        for start in range(0, len(k), 100_000):
-            part = slice(start, start + 100_000)
-            none = pd.array([pd.NA] * len(k[part]), dtype="Int64")
-            yield pd.DataFrame({"k": k[part], "class": c[part], "doc_id": none, "size": none})
-
-    return rows.repartition(partitions, "k").mapInPandas(run, "k long, class long, doc_id long, size long")
-
-
-def exact_links(pairs: DataFrame, sets: DataFrame, n: int, rule: Rule, name: str) -> DataFrame:
+            if is_doc.any():
+                yield batch[is_doc]
+                batch = batch[~is_doc]
+            k, c = batch["k"].to_numpy(np.int64), batch["class"].to_numpy(np.int64)
+            if last:
+                k, c = np.r_[last[0], k], np.r_[last[1], c]
+            if not len(k):
+                continue
+            fresh = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])]
+            k, c = k[fresh], c[fresh]
+            same = k[1:] == k[:-1]
+            before = np.r_[bool(last and last[2]), same]
+            shared = before[:-1] | same
+            yield frame(k[:-1][shared], c[:-1][shared])
+            last = int(k[-1]), int(c[-1]), bool(before[-1])
+        if last and last[2]:
+            yield frame(np.array([last[0]]), np.array([last[1]]))
+
+    def frame(k: np.ndarray, c: np.ndarray) -> pd.DataFrame:
+        none = pd.array([None] * len(k), dtype="Int64")
+        return pd.DataFrame({"k": k, "class": c, "doc_id": none, "size": none})
+
+    dealt = rows.repartition(partitions, "k").sortWithinPartitions("k", "class")
+    return dealt.mapInPandas(run, "k long, class long, doc_id long, size long")
+
+
+def exact_links(pairs: DataFrame, sets: DataFrame, rule: Rule, name: str) -> DataFrame:
     """The ``(a, b)`` of ``pairs`` whose sets are similar enough: bit counts first, then the sorted arrays themselves."""
 
     def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = []
-            for na, nb, ma, mb in zip(batch["size_a"], batch["size_b"], batch["map_a"], batch["map_b"], strict=True):
-                maps = [np.frombuffer(ma, np.uint64), np.frombuffer(mb, np.uint64)]
-                keep.append(bool(may_link(rule, np.array([na, nb]), maps, 0, np.array([1]))[0]))
+            keep = np.zeros(len(batch), dtype=bool)
+            for (wa, wb), at in batch.groupby([batch["map_a"].str.len(), batch["map_b"].str.len()]).indices.items():
+                part = batch.iloc[at]
+                maps = (np.frombuffer(b"".join(part[m]), np.uint64).reshape(len(at), w // 8) for m, w in (("map_a", wa), ("map_b", wb)))
+                na, nb = part["size_a"].to_numpy(np.int64), part["size_b"].to_numpy(np.int64)
+                keep[at] = rule.enough(most_common(na, nb, *maps), na, nb)
             yield batch.loc[keep, ["a", "b"]]
 
     def intersected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, last = Shingler(n), (None, None)
         for batch in batches:
             keep = []
-            for a, ta, tb in zip(batch["a"], batch["text_a"], batch["text_b"], strict=True):
-                if last[0] != a:
-                    last = (a, shingles(ta))
-                x, y = last[1], shingles(tb)
-                keep.append(bool(rule.enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
+            for x, y in zip(batch["hashes_a"], batch["hashes_b"], strict=True):
+                both = np.sort(np.concatenate((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))), kind="stable")  # merges two sorted runs
+                keep.append(bool(rule.enough(int((both[1:] == both[:-1]).sum()), len(x) // 8, len(y) // 8)))
             yield batch.loc[keep, ["a", "b"]]
 
     def side(s: str, *columns: str) -> DataFrame:
@@ -248,47 +273,83 @@ def exact_links(pairs: DataFrame, sets: DataFrame, n: int, rule: Rule, name: str
 
     near = pairs.join(side("a", "size", "map"), "a").join(side("b", "size", "map"), "b").mapInPandas(bounded, "a long, b long")
     near = materialise(near, f"{name}-bounded")
-    texts = near.join(side("a", "text"), "a").join(side("b", "text"), "b").select("a", "b", "text_a", "text_b")
-    return materialise(texts.mapInPandas(intersected, "a long, b long"), name)
+    arrays = near.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b").select("a", "b", "hashes_a", "hashes_b")
+    return materialise(arrays.mapInPandas(intersected, "a long, b long"), name)
+
+
+def tile_cells(tiles: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(told, cells)``: (k, class) of tiles that hold several groups, and (k, i, j, rest, class, grp) of their members,
+    dealt to cells of TILE by TILE.
+
+    Members of a tile's largest group need no look at each other: block i holds all members, block j those of other groups alone
+    (``rest``). So a member of the largest group is copied once for each TILE members of other groups, however large its own is.
+    """
+    told = tiles.join(groups, F.col("node") == F.col("class"), "left").select("k", "class", F.coalesce("component", "class").alias("grp"))
+    sizes = told.groupBy("k", "grp").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("k").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("grp", F.struct("n", "grp")).alias("largest"), F.count("*").alias("groups")).where("groups > 1")
+    mixed = mixed.select("k", "largest", F.ceil(F.col("n") / TILE).cast("int").alias("all_blocks"), F.ceil((F.col("n") - F.col("most")) / TILE).cast("int").alias("rest_blocks"))
+    told = materialise(told.join(mixed, "k"), "ngram-mixed")
+    block = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
+    blocks = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    whole = told.select("k", block("all_blocks").alias("i"), blocks("rest_blocks").alias("j"), F.lit(False).alias("rest"), "class", "grp")
+    rest = told.where("grp <> largest").select("k", blocks("all_blocks").alias("i"), block("rest_blocks").alias("j"), F.lit(True).alias("rest"), "class", "grp")
+    return told, whole.unionByName(rest)
 
 
 def tile_pairs(members: DataFrame, rule: Rule, forest: bool = False) -> DataFrame:
     """Distinct ``(a, b)`` of members of one tile (a key) in different groups whose bit counts allow a link.
 
-    ``members``: k, i, j, block, class, grp, size, map, keys, sorted by (k, i, j); a cell (i, j) holds blocks i and j of a tile. ``keys``:
+    ``members``: k, i, j, rest, class, grp, size, map, keys, sorted by (k, i, j), as ``tile_cells`` deals them. ``keys``:
     the SKETCH smallest keys of the member's tiles, in order. Copies share most of their tiles: a pair is given by the tile of its
     smallest common key alone. Pairs without a common key among these are given by each of their tiles. ``forest``: as if every
     pair that the bit counts allow were a link, only pairs that join groups which no pair of the cell has joined before.
     """
 
     def cell(c: dict) -> Iterator[pd.DataFrame]:
-        n, grp, classes, block = np.array(c["size"]), np.array(c["grp"]), np.array(c["class"]), np.array(c["block"])
-        maps, k = [np.frombuffer(m, np.uint64) for m in c["map"]], c["k"]
+        n, classes, grp, keys, k = c["size"], c["class"], c["grp"], [x.tolist() for x in c["keys"]], c["k"]
+        rest, whole = ([i for i, r in enumerate(c["rest"]) if r == side] for side in (True, False))
+        in_rest, in_whole = ({classes[i] for i in side} for side in (rest, whole))
+        large = len(whole) > LARGE
+        sizes, places = np.array(n), np.array(whole)
+        maps = [np.frombuffer(m, np.uint64) for m in c["map"]] if large else c["map"]
+        joined: dict[int, int] = {}  # a group that another has taken in, and that one
+
+        def root(g: int) -> int:
+            while g in joined:
+                g = joined[g]
+            return g
+
         found_a, found_b = [], []
-        for x in range(len(n)):
-            others = np.arange(x + 1, len(n))
-            others = others[grp[others] != grp[x]]
-            if c["i"] != c["j"]:
-                others = others[block[others] != block[x]]
-            mine = set(c["keys"][x].tolist())
-            hit = [y for y in others[may_link(rule, n, maps, x, others)].tolist() if next((key for key in c["keys"][y].tolist() if key in mine), k) == k]
-            if forest and hit:
-                hit = [hit[y] for y in np.unique(grp[hit], return_index=True)[1]]
-                grp[np.isin(grp, grp[hit])] = grp[x]
-            found_a += [classes[x]] * len(hit)
-            found_b += classes[hit].tolist()
+        for x in rest:
+            mine, met = set(keys[x]), set()
+            for y in places[may_link(rule, sizes, maps, x, places)].tolist() if large else whole:
+                other = root(grp[y])
+                if other == root(grp[x]) or forest and other in met:
+                    continue
+                # a pair that stands on both sides of this cell is taken in one order
+                if classes[y] > classes[x] and classes[y] in in_rest and classes[x] in in_whole:
+                    continue
+                if next((key for key in keys[y] if key in mine), k) != k:
+                    continue
+                if large or rule.enough(bits_in_common(n[x], n[y], maps[x], maps[y]), n[x], n[y]):
+                    found_a.append(classes[x])
+                    found_b.append(classes[y])
+                    met.add(other)
+            if forest:
+                for other in met:
+                    joined[other] = root(grp[x])
         yield pd.DataFrame({"a": np.minimum(found_a, found_b).astype(np.int64), "b": np.maximum(found_a, found_b).astype(np.int64)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, now = None, None
         for batch in batches:
             for row in batch.itertuples(index=False, name=None):
-                k, i, j, block, cls, grp, size, bits, keys = row
+                k, i, j, rest, cls, grp, size, bits, keys = row
                 if (k, i, j) != at:
                     if now and len(now["size"]) > 1:
                         yield from cell(now)
-                    at, now = (k, i, j), {"k": k, "i": i, "j": j, "size": [], "grp": [], "class": [], "map": [], "block": [], "keys": []}
-                for name, value in (("size", size), ("grp", grp), ("class", cls), ("map", bits), ("block", block), ("keys", keys)):
+                    at, now = (k, i, j), {"k": k, "size": [], "grp": [], "class": [], "map": [], "rest": [], "keys": []}
+                for name, value in (("size", size), ("grp", grp), ("class", cls), ("map", bits), ("rest", rest), ("keys", keys)):
                     now[name].append(value)
         if now and len(now["size"]) > 1:
             yield from cell(now)
@@ -308,7 +369,7 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[Dat
     """
     spark, rule = docs.sparkSession, Rule(percent)
     docs = docs.select("doc_id", "text")
-    rows = materialise(shared_rows(shingle_rows(docs, n, rule), shuffle_partitions(spark)), "ngram-rows")
+    rows = materialise(shared_rows(shingle_rows(docs, n, rule), shuffle_partitions(spark)), "ngram-rows", keep=True)
     members = rows.where("size is not null").select("doc_id", "class", "size")
     tiles = rows.where("size is null").select("k", "class")
     hubs = tiles.groupBy("k").agg(F.min("class").alias("a"))
@@ -317,34 +378,31 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[Dat
 
     wanted = tiles.select("class").distinct()
     firsts = members.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    firsts = materialise(firsts, "ngram-firsts")
-    picked = F.broadcast(firsts) if firsts.count() * 16 <= BROADCAST_BYTES else firsts
+    picked = small(materialise(firsts, "ngram-firsts"))
 
     def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler(n)
         for batch in batches:
             sets = [shingles(t) for t in batch["text"]]
-            yield pd.DataFrame({"class": batch["class"], "size": [len(s) for s in sets], "map": [bitmap(s) for s in sets], "text": batch["text"]})
-
-    sets = materialise(docs.join(picked, "doc_id").select("class", "text").mapInPandas(described, "class long, size long, map binary, text string").dropDuplicates(["class"]), "ngram-sets")
-    links = exact_links(stars, sets, n, rule, "ngram-star-links")
+            digests = [class_of(s) for s in sets]
+            fits = (batch["class"] == digests).to_numpy()  # another row with this doc_id may have another text
+            yield pd.DataFrame({"class": digests, "size": [len(s) for s in sets], "map": [bitmap(s) for s in sets], "hashes": [s.tobytes() for s in sets]})[fits]
+
+    repeated = members.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    found = docs.join(picked, "doc_id").select("class", "text").mapInPandas(described, "class long, size long, map binary, hashes binary")
+    sets = materialise(found.dropDuplicates(["class"]) if repeated else found, "ngram-sets")
+    links = exact_links(stars, sets, rule, "ngram-star-links")
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for forest in (True, False):
         groups = connected_components(links)
-        told = tiles.join(groups, F.col("node") == F.col("class"), "left").select("k", "class", F.coalesce("component", "class").alias("grp"))
-        mixed = told.groupBy("k").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"), F.count("*").alias("members")).where("g0 <> g1")
-        mixed = mixed.select("k", F.ceil(F.col("members") / TILE).cast("int").alias("blocks"))
-        told = materialise(told.join(mixed, "k"), "ngram-mixed")
-        smallest = told.select("class", "k", F.row_number().over(Window.partitionBy("class").orderBy("k")).alias("r")).where(F.col("r") <= SKETCH)
-        sketches = smallest.groupBy("class").agg(F.array_sort(F.collect_list("k")).alias("keys"))
-        cells = told.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-        cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        cells = cells.select("k", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "grp")
+        told, cells = tile_cells(tiles, groups)
+        smallest = told.select("class", "k", F.row_number().over(Window.partitionBy("class").orderBy("k")).alias("r"))
+        sketches = smallest.where(F.col("r") <= SKETCH).groupBy("class").agg(F.array_sort(F.collect_list("k")).alias("keys"))
         sets_with_keys = sets.select("class", "size", "map").join(sketches, "class")
-        cells = cells.join(sets_with_keys, "class").select("k", "i", "j", "block", "class", "grp", "size", "map", "keys")
+        cells = cells.join(sets_with_keys, "class").select("k", "i", "j", "rest", "class", "grp", "size", "map", "keys")
         cells = cells.repartition(shuffle_partitions(spark), "k", "i", "j").sortWithinPartitions("k", "i", "j")
         pairs = materialise(tile_pairs(cells, rule, forest).join(tried, ["a", "b"], "left_anti"), "ngram-tile-pairs")
-        links, tried = links.unionByName(exact_links(pairs, sets, n, rule, "ngram-tile-links")), tried.unionByName(pairs)
+        links, tried = links.unionByName(exact_links(pairs, sets, rule, "ngram-tile-links")), tried.unionByName(pairs)
     return members, links
 
 
@@ -356,14 +414,20 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     documents are linked when 100 * intersection >= percent * union. Sets are compared by 64-bit shingle hashes. Rows with
     the same doc_id are kept one by one; extra columns are ignored; an empty table gives no rows.
     """
+    with scratch(docs.sparkSession):
+        members, told = class_components(docs, n, percent)
+    out = members.join(told, (F.col("class") == F.col("_class")) & (F.col("size") > 0), "left")
+    return out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def class_components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``(members, told)``: every document's class, and (_class, component_id) of the classes that are not empty."""
     members, links = similar_classes(docs, n, percent)
     groups = connected_components(links)
     low = members.where("size > 0").groupBy("class").agg(F.min("doc_id").alias("low"))
     low = low.join(groups, F.col("node") == F.col("class"), "left").select("class", "low", F.coalesce("component", "class").alias("grp"))
     least = low.groupBy("grp").agg(F.min("low").alias("component_id"))
-    told = materialise(low.join(least, "grp").select(F.col("class").alias("_class"), "component_id"), "ngram-told")
-    out = members.join(told, (F.col("class") == F.col("_class")) & (F.col("size") > 0), "left")
-    return out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return members, materialise(low.join(least, "grp").select(F.col("class").alias("_class"), "component_id"), "ngram-told", keep=True)
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
