@@ -11,16 +11,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A rule is a share of two counts; a document is rejected when the share is above the rule's cutoff, in thousandths.
-RULES = {
-    "symbols": ("n_symbols", "n_words"),
-    "duplicate_lines": ("n_dup_lines", "n_lines"),
-    "repeated_words": ("n_repeat_words", "n_words"),
-    "capitals": ("n_upper", "n_letters"),
-    "marks": ("n_marks", "n_words"),
+from .common import materialise
+
+#: Shares of two counts, and what a clean text has of each at most, in thousandths: a share counts in units of that.
+SHARES = {
+    "symbols": ("n_symbols", "n_words", 100),
+    "duplicate_lines": ("n_dup_lines", "n_lines", 300),
+    "capitals": ("n_upper", "n_letters", 300),
+    "marks": ("n_marks", "n_words", 100),
 }
+#: A rule is the largest of its shares; a document is rejected when that is above the rule's cutoff, in thousandths. All shares are
+#: one rule, so a stratum has one test, which has the whole limit.
+RULES = {"worst_share": ("symbols", "duplicate_lines", "capitals", "marks")}
 #: Cutoffs tried for a rule, from strict to lax, in thousandths.
-GRID = (20, 50, 100, 150, 200, 300, 400, 500, 600, 700, 800, 900, 1000, 1500, 2000)
+GRID = (250, 350, 500, 700, 1000, 1400, 2000, 2800, 4000, 5600, 8000, 11000, 16000)
 #: At most this share of good documents may be rejected in a stratum, all rules together ...
 MAX_FALSE_REJECTION = 0.02
 #: ... with this probability of being wrong about any of them.
@@ -120,38 +124,55 @@ def upper_bound(failures: int, trials: int, delta: float) -> float:
     return high
 
 
+def testable(trials: dict[str | None, int], limit: float, delta: float, rules: int) -> list[str | None]:
+    """The strata with enough good documents for a cutoff that rejects none of them, when they share ``delta``.
+
+    Only sizes are looked at, never outcomes, so leaving the others out takes nothing from the guarantee.
+    """
+    order = sorted(trials, key=lambda s: (-trials[s], str(s)))
+    while order and upper_bound(0, trials[order[-1]], delta / (len(order) * rules)) > limit / rules:
+        order.pop()
+    return order
+
+
 def select_cutoffs(good: dict[tuple[str | None, str], list[int]], trials: dict[str | None, int], limit: float = MAX_FALSE_REJECTION, delta: float = DELTA) -> dict[tuple[str | None, str], int]:
     """The strictest cutoff of each stratum and rule whose false rejections are surely limited; none if no cutoff is.
 
     ``good[stratum, rule][i]``: good holdout documents above GRID[i]; ``trials[stratum]``: good holdout documents. The limit is
-    shared by the rules, and ``delta`` by strata and rules (Bonferroni). The cutoffs of one rule are tested from the laxest to
-    the strictest and testing stops at the first that fails, so the grid needs no correction (fixed sequence).
+    shared by the rules, and ``delta`` by rules and testable strata (Bonferroni). The cutoffs of one rule are tested from the laxest
+    to the strictest and testing stops at the first that fails, so the grid needs no correction (fixed sequence).
     """
-    tests = max(1, len(trials) * len(RULES))
+    strata = testable(trials, limit, delta, len(RULES))
+    tests = max(1, len(strata) * len(RULES))
     out = {}
     for (stratum, rule), above in good.items():
         for i in range(len(GRID) - 1, -1, -1):
-            if upper_bound(above[i], trials[stratum], delta / tests) > limit / len(RULES):
+            if stratum not in strata or upper_bound(above[i], trials[stratum], delta / tests) > limit / len(RULES):
                 break
             out[stratum, rule] = GRID[i]
     return out
 
 
 def share_above(rule: str, cutoff: Column | int) -> Column:
-    """Whether a document's share is above a cutoff in thousandths; shares of 0 are above none."""
-    top, bottom = RULES[rule]
-    return F.col(top) * 1000 > F.col(bottom) * cutoff
+    """Whether one of a document's shares is above a cutoff in thousandths of its unit; shares of 0 are above none."""
+    above = F.lit(False)
+    for name in RULES[rule]:
+        top, bottom, unit = SHARES[name]
+        above = above | (F.col(top) * 1_000_000 > F.col(bottom) * (cutoff * unit))
+    return above
 
 
 def learn_cutoffs(counts: DataFrame, labels: DataFrame, limit: float = MAX_FALSE_REJECTION, delta: float = DELTA) -> dict[tuple[str | None, str], int]:
     """Cutoffs by stratum and rule from all good labelled documents that pass the base rules.
 
     One aggregate per stratum runs on Spark; the driver gets counts, strata times rules times grid. A document with several
-    labels counts as good if all say so. Strata with too few good documents get no cutoff, so nothing in them is rejected.
+    labels counts as good if all say so, and rows with one doc_id are one trial: the one with the least counts. Strata with too
+    few good documents get no cutoff, so nothing in them is rejected.
     """
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     held = counts.where(~base_failed()).join(good, "doc_id", "left_semi")
-    rows = held.groupBy("lang").agg(F.count("*").alias("trials"), *[F.count(F.when(share_above(r, c), 1)).alias(f"{r}_{c}") for r in RULES for c in GRID]).collect()
+    once = held.groupBy("doc_id").agg(F.min(F.struct(*COUNTS, "lang")).alias("c")).select("c.*")
+    rows = once.groupBy("lang").agg(F.count("*").alias("trials"), *[F.count(F.when(share_above(r, c), 1)).alias(f"{r}_{c}") for r in RULES for c in GRID]).collect()
     trials = {row["lang"]: row["trials"] for row in rows}
     above = {(row["lang"], r): [row[f"{r}_{c}"] for c in GRID] for row in rows for r in RULES}
     return select_cutoffs(above, trials, limit, delta)
@@ -168,12 +189,10 @@ def verdict(cutoffs: dict[tuple[str | None, str], int]) -> Column:
 def rate_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, ``lang``, COUNTS, ``base_failed`` and ``kept`` per row of ``docs`` (doc_id, lang, text).
 
-    Rejected: fewer than 10 words, more than 20 % of words in repeated windows, or a share above a cutoff of the stratum. Null
+    Rejected: fewer than 10 words, more than 20 % of words in repeated windows, or a share above the stratum's cutoff. Null
     texts count as empty and fail; a null language is a stratum; without labels only the base rules hold. Repeated rows are
-    rated alike; extra columns are ignored.
+    rated alike; an empty table gives no rows; extra columns are ignored.
     """
-    from .common import materialise
-
-    counts = materialise(count_documents(docs), "quality-counts")
+    counts = materialise(count_documents(docs), "quality-counts", keep=True)
     cutoffs = learn_cutoffs(counts, labels)
     return counts.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(cutoffs))
