@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 MARKER = "▁"
-#: Letters of a word that are scored together; longer runs are cut into parts of so many.
-PART = 24
-#: The bounded sample that models are fitted on: training documents of a language, and distinct words of it, at most.
-SAMPLE_DOCS, SAMPLE_WORDS = 600, 20_000
+#: Letters up to which words of one length are scored together, as plain probabilities; longer ones alone, by logarithms: the same sums.
+TOGETHER = 24
+#: The bounded sample that models are fitted on: training documents of a language, at most, and groups that they are first chosen in.
+SAMPLE_DOCS, SALTS = 600, 64
 #: Steps of expectation maximisation, and the count that every piece has before any is seen.
 STEPS, PRIOR = 3, 0.05
 #: Words whose scores a task remembers at most.
@@ -33,10 +33,6 @@ def words_of(text: str | None) -> list[str]:
     return words if any(any(map(str.isalpha, w)) for w in words) else []
 
 
-def parts_of(word: str) -> list[str]:
-    return [MARKER + word] if len(word) <= PART else [(MARKER if i == 0 else "") + word[i : i + PART] for i in range(0, len(word), PART)]
-
-
 def vocabulary(model_path: str) -> list[str]:
     """The ordinary pieces of a SentencePiece model, in its order: a fixed public vocabulary."""
     import sentencepiece
@@ -79,9 +75,25 @@ class Pieces:
                     out.append((start, end, rows, self.order[at[rows]]))
         return sorted(out, key=lambda x: (x[1], x[0]))
 
+    def grid(self, word: str) -> np.ndarray:
+        """``[longest, letters + 1]`` for one word of any length: at (size - 1, end) the piece of that size that ends there.
+
+        ``count`` stands for a letter without a piece, ``count + 1`` for no piece.
+        """
+        n = len(word)
+        codes = np.array([word], dtype=f"U{n}").view(np.uint32).astype(np.uint64)
+        out = np.full((self.longest, n + 1), self.count + 1, dtype=np.int64)
+        h = np.zeros(n, dtype=np.uint64)
+        for size in range(1, min(n, self.longest) + 1):
+            h = h[: n - size + 1] * _BASE + codes[size - 1 :] + np.uint64(1)
+            key = h * _SPREAD
+            at = np.minimum(np.searchsorted(self.keys, key), self.count - 1)
+            out[size - 1, size:] = np.where(self.keys[at] == key, self.order[at], self.count + (size > 1))
+        return out
+
 
 def forward(spans, rows: int, n: int, prob: np.ndarray) -> np.ndarray:
-    """Probability of every prefix of every part by language, summed over segmentations: ``[n + 1, rows, languages]``."""
+    """Probability of every prefix of every word by language, summed over segmentations: ``[n + 1, rows, languages]``."""
     alpha = np.zeros((n + 1, rows, prob.shape[1]))
     alpha[0] = 1
     for start, end, at, piece in spans:
@@ -89,21 +101,39 @@ def forward(spans, rows: int, n: int, prob: np.ndarray) -> np.ndarray:
     return alpha
 
 
-def by_length(parts: list[str]) -> dict[int, list[int]]:
+def log_forward(grid: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """The same for one word of any length, as logarithms ``[n + 1, languages]``: a step looks back as far as the longest piece."""
+    with np.errstate(divide="ignore"):
+        worth = np.log(np.vstack([prob, np.zeros(prob.shape[1])]))
+    longest, n = len(grid), grid.shape[1] - 1
+    alpha = np.full((longest + n, prob.shape[1]), -np.inf)  # the first rows stand before the word
+    alpha[longest - 1] = 0
+    for end in range(1, n + 1):
+        ways = alpha[end - 1 : end - 1 + longest][::-1] + worth[grid[:, end]]
+        top = ways.max(axis=0)
+        alpha[longest - 1 + end] = top + np.log(np.exp(ways - top).sum(axis=0))
+    return alpha[longest - 1 :]
+
+
+def by_length(words: list[str]) -> tuple[dict[int, list[int]], list[int]]:
+    """Places of the words of each length up to TOGETHER, and of the longer ones."""
     groups: dict[int, list[int]] = {}
-    for i, p in enumerate(parts):
-        groups.setdefault(len(p), []).append(i)
-    return groups
+    for i, w in enumerate(words):
+        groups.setdefault(len(w), []).append(i)
+    return {n: g for n, g in groups.items() if n <= TOGETHER}, [i for n, g in groups.items() if n > TOGETHER for i in g]
 
 
-def part_scores(finder: Pieces, prob: np.ndarray, parts: list[str]) -> np.ndarray:
-    """Log probability of every part by language."""
-    out = np.zeros((len(parts), prob.shape[1]))
-    for n, places in by_length(parts).items():
+def part_scores(finder: Pieces, prob: np.ndarray, words: list[str]) -> np.ndarray:
+    """Log probability of every marked word by language, summed over all its segmentations."""
+    out = np.zeros((len(words), prob.shape[1]))
+    groups, long = by_length(words)
+    for n, places in groups.items():
         for i in range(0, len(places), 20_000):
             block = places[i : i + 20_000]
-            spans = finder.spans([parts[j] for j in block])
+            spans = finder.spans([words[j] for j in block])
             out[block] = np.log(np.maximum(forward(spans, len(block), n, prob)[n], 1e-300))
+    for i in long:
+        out[i] = log_forward(finder.grid(words[i]), prob)[-1]
     return out
 
 
@@ -115,13 +145,11 @@ def fit(pieces: list[str], counts: dict[str, dict[str, int]]) -> tuple[list[str]
     languages, finder = sorted(counts), Pieces(pieces)
     prob = np.full((len(pieces) + 1, max(1, len(languages))), 1 / (len(pieces) + 1))
     for column, language in enumerate(languages):
-        tally: Counter = Counter()
-        for word, n in counts[language].items():
-            for p in parts_of(word):
-                tally[p] += n
-        parts = list(tally)
-        weight = np.array([tally[p] for p in parts], dtype=float)
-        held = [(n, np.array(places), finder.spans([parts[j] for j in places])) for n, places in by_length(parts).items()]
+        words = [MARKER + w for w in counts[language]]
+        weight = np.array(list(counts[language].values()), dtype=float)
+        groups, long = by_length(words)
+        held = [(n, np.array(places), finder.spans([words[j] for j in places])) for n, places in groups.items()]
+        grids = [(weight[i], finder.grid(words[i])) for i in long]
         p = prob[:, column : column + 1].copy()
         for _ in range(STEPS):
             seen = np.full(len(pieces) + 1, PRIOR)
@@ -133,13 +161,31 @@ def fit(pieces: list[str], counts: dict[str, dict[str, int]]) -> tuple[list[str]
                     beta[start, at] += p[piece, 0] * beta[end, at]
                 whole = np.maximum(alpha[n], 1e-300)
                 for start, end, at, piece in spans:
-                    np.add.at(seen, piece, weight[places[at]] * alpha[start, at] * p[piece, 0] * beta[end, at] / whole[at])
+                    seen += np.bincount(piece, weight[places[at]] * alpha[start, at] * p[piece, 0] * beta[end, at] / whole[at], len(seen))
+            for times, grid in grids:
+                seen += times * long_counts(grid, p)
             seen[-1] = seen[:-1].min()
             p = (seen / seen.sum())[:, None]
         prob[:, column : column + 1] = p
     return languages, prob
 
 
+def long_counts(grid: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Expected count of every piece in one word of any length."""
+    n, none = grid.shape[1] - 1, len(p)
+    back = np.full_like(grid, none)  # the grid of the word read from its end
+    for size in range(1, min(n, len(grid)) + 1):
+        back[size - 1, size:] = grid[size - 1, size:][::-1]
+    alpha, beta = log_forward(grid, p)[:, 0], log_forward(back, p)[:, 0][::-1]
+    seen = np.zeros(len(p))
+    for size in range(1, min(n, len(grid)) + 1):
+        piece = grid[size - 1, size:]
+        known = np.flatnonzero(piece < none)
+        share = np.exp(alpha[known] + np.log(p[piece[known], 0]) + beta[known + size] - alpha[n])
+        seen += np.bincount(piece[known], share, len(p))
+    return seen
+
+
 def held_out_column(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
 
@@ -147,11 +193,13 @@ def held_out_column(doc_id: str = "doc_id"):
 def training_counts(docs: DataFrame) -> dict[str, dict[str, int]]:
     """Word counts by language of the bounded sample: the SAMPLE_DOCS training documents of a language with the least hashes.
 
-    Documents are chosen by id alone, so a task gives SAMPLE_DOCS of each language at most before the shuffle. At most
-    SAMPLE_WORDS words of each language come to the driver.
+    Documents are chosen by id alone, in SALTS groups of a language first, so no task reads more than SALTS times SAMPLE_DOCS ids
+    of a language. All words of the chosen documents come to the driver with their counts.
     """
     train = docs.where(~held_out_column() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = train.select("lang", "doc_id", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("r")).where(F.col("r") <= SAMPLE_DOCS)
+    chosen = train.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
+    for group in (["lang", F.pmod("h", F.lit(SALTS))], ["lang"]):
+        chosen = chosen.withColumn("r", F.row_number().over(Window.partitionBy(*group).orderBy("h", "doc_id"))).where(F.col("r") <= SAMPLE_DOCS).drop("r")
     chosen = F.broadcast(chosen.select("doc_id").distinct())  # SAMPLE_DOCS for each language
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,11 +212,10 @@ def training_counts(docs: DataFrame) -> dict[str, dict[str, int]]:
 
     picked = train.join(chosen, "doc_id", "left_semi")
     counts = picked.select("lang", "text").mapInPandas(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    best = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= SAMPLE_WORDS)
     out: dict[str, dict[str, int]] = {}
-    for row in best.select("lang", "word", "n").collect():
+    for row in counts.collect():
         out.setdefault(row["lang"], {})[row["word"]] = row["n"]
-    return out
+    return {lang: dict(sorted(words.items())) for lang, words in out.items()}  # in one order, so sums are the same in each run
 
 
 def predict(docs: DataFrame, pieces: list[str], languages: list[str], prob: np.ndarray, doc_id: str = "doc_id") -> DataFrame:
@@ -190,11 +237,10 @@ def predict(docs: DataFrame, pieces: list[str], languages: list[str], prob: np.n
                     known, scores = {}, np.zeros((0, len(languages)))
                 new = list({w for words in texts for w in words if w not in known})
                 if new:
-                    cut = [parts_of(w) for w in new]
-                    starts = np.cumsum([0, *map(len, cut)])[:-1]
-                    flat = part_scores(finder, prob, [p for c in cut for p in c])
-                    known.update(zip(new, range(len(scores), len(scores) + len(new)), strict=True))
-                    scores = np.concatenate([scores, np.add.reduceat(flat, starts, axis=0)])
+                    if len(known) + len(new) > len(scores):  # twice as many rows at least, so that few copies are made
+                        scores = np.concatenate([scores, np.zeros((max(len(scores), len(new)), len(languages)))])
+                    scores[len(known) : len(known) + len(new)] = part_scores(finder, prob, [MARKER + w for w in new])
+                    known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
                 langs, shares = [], []
                 for words in texts:
                     if not words:
