@@ -95,23 +95,29 @@ def unescape(text: Column) -> Column:
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """``(conv_id, formatted, loss array<struct<start,length>>)`` of ``turns`` (conv_id, turn, part, role, text).
+    """``(conv_id, formatted, loss array<struct<start,length>>, n_unknown)`` of ``turns`` (conv_id, turn, part, role, text).
 
     ``<|turn|>role<|text|>text<|end|>`` per turn, in order of (turn, part, role, text), so ties have one order; control strings inside
     roles and texts are escaped. ``loss`` has the code points of each assistant text. Turns are formatted before they are
     shuffled; what meets in one task is one conversation's output, which is one value by its nature. Offsets are running sums.
+    Rows of unknown layout (null role) add nothing to ``formatted`` and are counted in ``n_unknown``; a conversation of such rows
+    alone is an empty string. Null texts are empty, a null conv_id is a conversation, repeated rows are turns each, an empty table
+    gives no rows, and other columns are ignored.
     """
-    t = turns.where("role is not null").select("conv_id", "turn", "part", "role", "text", F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT)).alias("head"), escape(F.col("text")).alias("body"))
+    t = turns.select("conv_id", "turn", "part", "role", "text", F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT)).alias("head"), escape(F.coalesce("text", F.lit(""))).alias("body"))
     order = Window.partitionBy("conv_id").orderBy("turn", "part", "role", "text")
-    size = F.length("head") + F.length("body") + F.lit(len(END))
+    size = F.coalesce(F.length("head") + F.length("body") + F.lit(len(END)), F.lit(0))
     t = t.withColumn("at", F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.length("head")).withColumn("i", F.row_number().over(order))
-    piece = F.struct("i", F.concat("head", "body", F.lit(END)).alias("s"), F.when((F.col("role") == LOSS_ROLE) & (F.col("body") != ""), F.struct(F.col("at").alias("start"), F.length("body").cast("long").alias("length"))).alias("loss"))
+    piece = F.struct("i", F.coalesce(F.concat("head", "body", F.lit(END)), F.lit("")).alias("s"), F.col("role").isNull().alias("unknown"), F.when((F.col("role") == LOSS_ROLE) & (F.col("body") != ""), F.struct(F.col("at").alias("start"), F.length("body").cast("long").alias("length"))).alias("loss"))
     grouped = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(piece)).alias("p"))
-    return grouped.select("conv_id", F.array_join(F.transform("p", lambda x: x["s"]), "").alias("formatted"), F.filter(F.transform("p", lambda x: x["loss"]), lambda x: x.isNotNull()).alias("loss"))
+    return grouped.select("conv_id", F.array_join(F.transform("p", lambda x: x["s"]), "").alias("formatted"), F.filter(F.transform("p", lambda x: x["loss"]), lambda x: x.isNotNull()).alias("loss"), F.size(F.filter("p", lambda x: x["unknown"])).cast("long").alias("n_unknown"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """``(conv_id, turns array<struct<role,text>>, loss_text, formatted_chars)``, from the formatted strings and masks alone."""
+    """``(conv_id, turns array<struct<role,text>>, loss_text, formatted_chars)``, from the formatted strings and masks alone.
+
+    An empty string has no turns. Rows stay one by one; other columns are ignored.
+    """
     segments = F.filter(F.split("formatted", r"<\|turn\|>"), lambda x: x != "")
     cut = F.transform(segments, lambda s: F.split(F.regexp_replace(s, r"<\|end\|>$", ""), r"<\|text\|>"))
     turns = F.transform(cut, lambda x: F.struct(unescape(x[0]).alias("role"), unescape(x[1]).alias("text")))
@@ -122,11 +128,39 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def digests(read: DataFrame) -> DataFrame:
+    """``(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars)``; a conversation without turns has digests of nothing."""
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
 
 
 def turn_records(conversations: DataFrame) -> DataFrame:
-    """Rows by turn (conv_id, turn, role, text) as JSON records of the layout ``turn``. A conversation is never one JSON value."""
+    """Rows by turn (conv_id, turn, role, text) as JSON records of the layout ``turn``. A conversation is never one JSON value.
+
+    Null roles and texts are empty; repeated rows stay; an empty table gives no rows; other columns are ignored.
+    """
     record = F.to_json(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
     return conversations.select("conv_id", "turn", record.alias("record"))
+
+
+def mixed_records(conversations: DataFrame) -> DataFrame:
+    """The same turns as JSON records of all layouts that hold one turn, as a table of many origins has them: a hash of the row chooses.
+
+    Roles that a layout has a name of its own for are told by it; a role that is such a name, or none that a layout can hold,
+    goes to the others. Nulls, repeated rows, empty tables and other columns as in ``turn_records``.
+    """
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    names = ROLE_NAMES["conversations"]
+    told = F.create_map(*[F.lit(v) for theirs, ours in names.items() for v in (ours, theirs)])[role]
+    one = lambda r, t, value=role: F.struct(value.alias(r), text.alias(t))
+    layouts = [
+        F.to_json(one("role", "text")),
+        F.to_json(one("role", "content")),
+        F.to_json(F.struct(F.array(one("role", "content")).alias("messages"))),
+        F.to_json(F.struct(F.array(one("role", "text")).alias("turns"))),
+        F.to_json(F.struct(F.array(one("from", "value", told)).alias("conversations"))),
+    ]
+    which = F.pmod(F.xxhash64("conv_id", "turn", role, text), F.when(told.isNotNull(), 5).otherwise(4))
+    record = layouts[0]
+    for i, other in enumerate(layouts[1:], 1):
+        record = F.when(which == i, other).otherwise(record)
+    return conversations.select("conv_id", "turn", record.alias("record"))

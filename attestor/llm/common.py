@@ -2,95 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-_own: list[str] = []
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names. Where none is set, a local session gets one of its own; a cluster is an error."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        _own[:] = _own or [tempfile.mkdtemp(prefix="checkpoints-")]
-        root = _own[0]
-    return root.rstrip("/")
-
-
-def files(spark: SparkSession, path: str):
-    """Hadoop's file system that holds ``path``, and the path."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    fs, p = files(spark, path)
-    fs.delete(p, True)
 
+from attestor.sources.scratch import BROADCAST_BYTES, checkpoint_root, delete, discard, files, materialise, scratch, small
+from attestor.sources.tables import table
 
-_open: list[list[str]] = []
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that ``materialise`` writes in here are deleted at the end, but for those written with ``keep``."""
-    _open.append([])
-    try:
-        yield
-    finally:
-        for path in _open.pop():
-            delete(spark, path)
-
-
-def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write ``df`` to a table in the shared folder and read it back.
-
-    It cuts the lineage: what follows reads files, so a lost executor costs a re-read, not a recomputation. The table goes at
-    the end of the surrounding ``scratch``, unless it is to ``keep``, and at the latest when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/attestor/{name}-{uuid.uuid4().hex}"
-    if _open and not keep:
-        _open[-1].append(path)
-    df.write.parquet(path)
-    fs, p = files(spark, path)
-    fs.deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table that ``materialise`` wrote, once nothing reads it any more."""
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        delete(df.sparkSession, path)
+__all__ = ["BROADCAST_BYTES", "checkpoint_root", "delete", "discard", "files", "materialise", "scratch", "shuffle_partitions", "small", "table", "without"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Bytes of rows, as they lie in a hash table, up to which they are broadcast; beyond, they are joined by a shuffle.
-BROADCAST_BYTES = 32 << 20
-#: Bytes that a row of two or three numbers takes there.
-ROW_BYTES = 96
-
-
-def small(df: DataFrame, row_bytes: int = ROW_BYTES) -> DataFrame:
-    """``df`` (written already), marked for a broadcast if its counted rows are within BROADCAST_BYTES."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
-
-
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id is not in ``ids``. Ids are counted first: few are broadcast, many are shuffled."""
     gone = materialise(ids.select("doc_id").where("doc_id is not null").distinct(), "gone", keep=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from html import escape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -85,23 +86,34 @@ def interleaved(html: str | None) -> list[dict]:
     return [{"pos": i, **x} for i, x in enumerate(parser.items)]
 
 
-def parse_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """``(key, sequence)``: text and media-reference structs of every whole page in order. Extra columns are ignored."""
+def parse_pages(pages: DataFrame, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(key, keep..., sequence)``: text and media-reference structs of every whole page in order, one row per page.
+
+    Null and empty pages have an empty sequence, null keys stay, repeated rows are parsed each; other columns are ignored.
+    """
+    names = [f"c{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"key": batch["key"], "sequence": [interleaved(h) for h in batch["html"]]})
+            yield batch[["key", *names]].assign(sequence=[interleaved(h) for h in batch["html"]])
 
-    return pages.select(F.col(key).cast("long").alias("key"), F.col(html).alias("html")).mapInPandas(run, f"key long, sequence {SEQUENCE}").withColumnRenamed("key", key)
+    # whole numbers go through pandas as text, since a null would turn a column of them into floats
+    rows = pages.select(F.col(key).cast("string").alias("key"), F.col(html).cast("string").alias("html"), *[F.col(c).cast("string").alias(n) for c, n in zip(keep, names, strict=True)])
+    schema = "key string, " + "".join(f"{n} string, " for n in names) + f"sequence {SEQUENCE}"
+    kinds = {f.name: f.dataType for f in pages.schema}
+    return rows.mapInPandas(run, schema).select(F.col("key").cast("long").alias(key), *[F.col(n).cast(kinds[c]).alias(c) for c, n in zip(keep, names, strict=True)], "sequence")
 
 
-def resolve(parsed: DataFrame, media: DataFrame, key: str = "page_id") -> DataFrame:
-    """One row per media reference, ``(key, pos, kind, caption, media_digest, resolved, ...)``, with the columns of ``media``.
+def resolve(parsed: DataFrame, media: DataFrame, key: str = "page_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per media reference, ``(key, keep..., pos, n_items, kind, caption, media_digest, resolved, ...)``, with the columns of ``media``.
 
+    ``pos`` is the reference's place among all ``n_items`` items of its page, text too, so text before and after it stays aligned.
     ``media`` has one row per media_digest. References join by digest on a shuffle, which adaptive execution splits where one
-    digest is very frequent. References without media stay with ``resolved`` false.
+    digest is very frequent. References without media stay with ``resolved`` false; pages without references, and an empty
+    table, give no rows; rows with null or repeated keys keep a row for each of their references.
     """
-    refs = parsed.select(key, F.explode("sequence").alias("s")).where("s.media_digest is not null").select(key, "s.pos", "s.kind", "s.caption", "s.media_digest")
+    refs = parsed.select(key, *keep, F.size("sequence").alias("n_items"), F.explode("sequence").alias("s")).where("s.media_digest is not null")
+    refs = refs.select(key, *keep, "s.pos", "n_items", "s.kind", "s.caption", "s.media_digest")
     return refs.join(media.withColumn("resolved", F.lit(True)), "media_digest", "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
 
 
@@ -137,26 +149,40 @@ def feature_text(samples: bytes) -> str:
     return f"mean={x.mean():.4f};std={x.std():.4f};entropy={entropy:.4f};step={step:.4f}"
 
 
-def text_media(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(pages, media)`` of documents: a page of (doc_id, n_bytes, html) that refers to the document's image by digest, and the
-    images (media_digest, image), written to the shared folder. A task writes equal images once."""
+def text_page(doc: str | None, text: str, digest: str) -> str:
+    """A document as a page: its text in paragraphs with its image after the line in the middle."""
+    cut = text.find("\n", len(text) // 2) + 1 or len(text)
+    before, after = ("".join(f"<p>{escape(x, quote=False)}</p>" for x in part.split("\n") if x) for part in (text[:cut], text[cut:]))
+    return f'{before}<figure><img src="{SCHEME}{digest}"><figcaption>document {doc}</figcaption></figure>{after}'
+
+
+def text_pages(docs: DataFrame) -> DataFrame:
+    """``(doc_id, n_bytes, html)`` of documents: pages of their text that refer to the text's image by digest."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
                 payload, n = padded(text)
-                image = image_of(payload)
-                digest = hashlib.sha256(image).hexdigest()
-                html = f'<figure><img src="{SCHEME}{digest}"><figcaption>document {doc}</figcaption></figure>'
-                rows.append((doc, n, html, digest, image))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "html", "media_digest", "image"])
-            out.loc[out["media_digest"].duplicated(), "image"] = None
-            yield out
-
-    stored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_bytes long, html string, media_digest string, image binary")
-    stored = materialise(stored, "media")
-    return stored.select("doc_id", "n_bytes", "html"), stored.where("image is not null").select("media_digest", "image")
+                rows.append((doc, n, text_page(doc, text or "", hashlib.sha256(image_of(payload)).hexdigest())))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "html"])
+
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, n_bytes long, html string")
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def text_media(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(pages, media)`` of documents: their ``text_pages``, and their images (media_digest, image), written to the shared folder.
+
+    Null texts count as empty and have an image of zeros. A batch of a task writes equal images once, so repeated rows share one.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            images = [image_of(padded(t)[0]) for t in batch["text"].drop_duplicates()]
+            yield pd.DataFrame({"media_digest": [hashlib.sha256(x).hexdigest() for x in images], "image": images})
+
+    return text_pages(docs), materialise(docs.select("text").mapInPandas(run, "media_digest string, image binary"), "media", keep=True)
 
 
 def media_features(media: DataFrame) -> DataFrame:

@@ -220,4 +220,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, e
     Null text counts as empty; rows with the same doc_id are packed each on their own; an empty table gives no rows; extra columns
     are ignored. Equal lengths are ranked by doc_id, so the same input gives the same packing.
     """
-    return place(materialise(token_pieces(docs, tokenizer_path, capacity, end_id, ranks_path=ranks_path), "pieces"), capacity)
+    return place(materialise(token_pieces(docs, tokenizer_path, capacity, end_id, ranks_path=ranks_path), "pieces", keep=True), capacity)

@@ -32,11 +32,13 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = materialise(token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), "byte_bpe_50k", tokenizer("byte_bpe_50k.tiktoken")), "token-counts")
+    docs = table(spark, sf_dir, "documents")
+    counts = materialise(token_counts.count_tokens(docs, tokenizer("byte_bpe_50k.json"), "byte_bpe_50k", tokenizer("byte_bpe_50k.tiktoken")), "token-counts", keep=True)
     ledger = token_counts.TokenLedger(spark, f"{checkpoint_root(spark)}/attestor/ledger-{uuid.uuid4().hex}")
-    changes = token_counts.insertions(counts)
-    ledger.commit("documents-1", changes)
-    ledger.commit("documents-1", changes)  # a retry adds nothing
+    first = token_counts.estimated_counts(docs, "byte_bpe_50k")
+    ledger.commit("load", token_counts.insertions(first))
+    ledger.commit("count", token_counts.revisions(first, counts))  # estimates go, counts come
+    ledger.commit("count", token_counts.revisions(first, counts))  # a retry adds nothing
     return ledger.totals()
 
 
@@ -51,15 +53,15 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     hard = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
-    turns = chat_format.canonical_turns(chat_format.turn_records(rows.unionByName(hard)))
+    turns = chat_format.canonical_turns(chat_format.mixed_records(rows.unionByName(hard)))
     return chat_format.digests(chat_format.read_back(chat_format.format_conversations(turns)))
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, images = media.text_media(table(spark, sf_dir, "documents"))
-    resolved = media.resolve(media.parse_pages(pages, "doc_id"), media.media_features(images), "doc_id")
-    sizes = pages.select("doc_id", "n_bytes")
-    return resolved.join(sizes, "doc_id").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
+    parsed = media.parse_pages(pages, "doc_id", keep=("n_bytes",))
+    resolved = media.resolve(parsed, media.media_features(images), "doc_id", keep=("n_bytes",))
+    return resolved.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "n_items", "caption")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
