@@ -114,7 +114,7 @@ TEMPLATES = (
 
 def rule_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = table(spark, sf_dir, "benchmark")
-    text = F.substring("text", 1, 60)
+    text = F.col("text")
     asked = F.lit(None).cast("string")
     for i, t in enumerate(TEMPLATES):
         before, after = t.split("{}")
@@ -123,5 +123,5 @@ def rule_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RULE_QUESTIONS_SQL = "questions as (select item_id as query_id, case item_id % {} {} end as question from benchmark)".format(
-    len(TEMPLATES), " ".join(f"when {i} then '{t.split('{}')[0]}' || substr(text, 1, 60) || '{t.split('{}')[1]}'" for i, t in enumerate(TEMPLATES))
+    len(TEMPLATES), " ".join(f"when {i} then '{t.split('{}')[0]}' || text || '{t.split('{}')[1]}'" for i, t in enumerate(TEMPLATES))
 )
