@@ -20,8 +20,8 @@ TOGETHER = 24
 SAMPLE_DOCS, SALTS = 600, 64
 #: Steps of expectation maximisation, and the count that every piece has before any is seen.
 STEPS, PRIOR = 3, 0.05
-#: Words whose scores a task remembers at most.
-MAX_WORDS = 300_000
+#: Words that are scored at once, and words whose scores a task remembers at most.
+BLOCK, MAX_WORDS = 4_000, 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x100000001B3)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -128,8 +128,8 @@ def part_scores(finder: Pieces, prob: np.ndarray, words: list[str]) -> np.ndarra
     out = np.zeros((len(words), prob.shape[1]))
     groups, long = by_length(words)
     for n, places in groups.items():
-        for i in range(0, len(places), 20_000):
-            block = places[i : i + 20_000]
+        for i in range(0, len(places), BLOCK):
+            block = places[i : i + BLOCK]
             spans = finder.spans([words[j] for j in block])
             out[block] = np.log(np.maximum(forward(spans, len(block), n, prob)[n], 1e-300))
     for i in long:

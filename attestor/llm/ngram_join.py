@@ -23,7 +23,7 @@ LARGE = 256
 #: Smallest keys by which two members of several tiles agree in which one they are compared.
 SKETCH = 32
 #: Word hashes a task remembers at most.
-MAX_WORDS = 400_000
+MAX_WORDS = 200_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -195,7 +195,7 @@ def shingle_rows(docs: DataFrame, n: int, rule: Rule) -> DataFrame:
                     k = tile_keys(rule, hashes)
                     keys.append(k.view(np.int64))
                     owners.append(np.full(len(k), digest, dtype=np.int64))
-                if sum(map(len, keys)) > 500_000:
+                if sum(map(len, keys)) > 200_000:
                     yield frame(ids, classes, sizes, keys, owners)
                     ids, classes, sizes, keys, owners = [], [], [], [], []
             yield frame(ids, classes, sizes, keys, owners)
