@@ -22,6 +22,8 @@ TILE = 2048
 LARGE = 256
 #: Smallest keys by which two members of several tiles agree in which one they are compared.
 SKETCH = 32
+#: Sets that a task hands on at once.
+ROWS = 256
 #: Word hashes a task remembers at most.
 MAX_WORDS = 200_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
@@ -383,10 +385,12 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[Dat
     def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler(n)
         for batch in batches:
-            sets = [shingles(t) for t in batch["text"]]
-            digests = [class_of(s) for s in sets]
-            fits = (batch["class"] == digests).to_numpy()  # another row with this doc_id may have another text
-            yield pd.DataFrame({"class": digests, "size": [len(s) for s in sets], "map": [bitmap(s) for s in sets], "hashes": [s.tobytes() for s in sets]})[fits]
+            for at in range(0, len(batch), ROWS):  # a set takes more room than its text
+                part = batch.iloc[at : at + ROWS]
+                sets = [shingles(t) for t in part["text"]]
+                digests = [class_of(s) for s in sets]
+                fits = (part["class"] == digests).to_numpy()  # another row with this doc_id may have another text
+                yield pd.DataFrame({"class": digests, "size": [len(s) for s in sets], "map": [bitmap(s) for s in sets], "hashes": [s.tobytes() for s in sets]})[fits]
 
     repeated = members.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     found = docs.join(picked, "doc_id").select("class", "text").mapInPandas(described, "class long, size long, map binary, hashes binary")
