@@ -131,10 +131,11 @@ def _(spark, d):
     return _told(vectors.knn_topk(retrieval.points(spark, d), retrieval.point_questions(spark, d), 5, same=False))
 
 
-@query("cosine_pair_list", f"with {retrieval.UNIT_SQL} select a.label, a.vec_id as a, b.vec_id as b, round(list_dot_product(a.v, b.v) / (a.norm * b.norm), 6) as similarity from normed a join normed b on a.label = b.label and a.vec_id < b.vec_id where a.vec_id % 8 = 0 and b.vec_id % 8 = 0")
+@query("cosine_pair_list", f"with {retrieval.UNIT_SQL} select a.label, a.vec_id as a, b.vec_id as b, round(list_dot_product(a.v, b.v) / (a.norm * b.norm), 6) as similarity from normed a join normed b on a.label = b.label and a.vec_id // 64 = b.vec_id // 64 and a.vec_id < b.vec_id")
 def _(spark, d):
-    p = retrieval.points(spark, d).where("doc_id % 8 = 0").select("label", F.col("doc_id").alias("id"), "vector")  # groups as small as a document's
-    return hierarchy.cosine_pairs(p, "label").select("label", "a", "b", F.round("similarity", 6).alias("similarity"))
+    group = F.struct("label", F.floor(F.col("doc_id") / 64).alias("part"))  # groups as small as a document's
+    p = retrieval.points(spark, d).select(group.alias("g"), F.col("doc_id").alias("id"), "vector")
+    return hierarchy.cosine_pairs(p, "g").select("g.label", "a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 _GENERIC = ", ".join(f"'{w}'" for w in T.GENERIC_NAME_WORDS)
@@ -177,12 +178,12 @@ def _(spark, d):
     return state.integrity_faults(chunks, contexts, "source")
 
 
-@query("version_candidates", """with pool as (select source, max(doc_id) as newest from documents group by 1), u as (select doc_id, source from documents where doc_id % 9 = 0)
+@query("version_candidates", """with pool as (select source, max(doc_id) as newest from documents group by 1), u as (select doc_id, source from documents)
     select doc_id as upload_id, source as document_id from u where doc_id % 2 = 0 union all select doc_id, case when length(source) >= 4 then source end from u where doc_id % 2 = 1 and length(source) >= 4""")
 def _(spark, d):
     docs = table(spark, d, "documents")
     known = docs.groupBy(F.col("source").alias("document_id")).agg(F.max("doc_id").alias("created_at")).select("document_id", "created_at", F.concat("document_id", F.lit(" draft 2")).alias("title"), F.concat("document_id", F.lit(".pdf")).alias("filename"))
-    uploads = docs.where("doc_id % 9 = 0").select(F.col("doc_id").alias("upload_id"), F.when(F.col("doc_id") % 2 == 0, F.concat("source", F.lit(".PDF"))).otherwise(F.concat("source", F.lit("_v7.md"))).alias("filename"))
+    uploads = docs.select(F.col("doc_id").alias("upload_id"), F.when(F.col("doc_id") % 2 == 0, F.concat("source", F.lit(".PDF"))).otherwise(F.concat("source", F.lit("_v7.md"))).alias("filename"))
     return registry.same_document_candidates(uploads, known)
 
 
@@ -244,9 +245,9 @@ def _(spark, d):
     return selection.selection_summary(e, selection.balance(e, 10), 10)
 
 
-@query("passed_through", f"with {corpus.evidence_sql()} select query_id, doc_id, r as rank from (select *, row_number() over (partition by query_id order by rank) as r from evidence where rank % 2 = 1) where r <= 7")
+@query("passed_through", f"with {corpus.evidence_sql()} select query_id, doc_id, r as rank from (select *, row_number() over (partition by query_id order by rank) as r from evidence) where r <= 7")
 def _(spark, d):
-    kept = selection.passed_through(corpus.candidates(spark, d).where("rank % 2 = 1"), 7)
+    kept = selection.passed_through(corpus.candidates(spark, d), 7)
     return kept.select("query_id", "doc_id", F.col("selected_rank").cast("long").alias("rank"))
 
 
