@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, langid, license_scan, line_dedup, media, ngram_join, packing, quality, sentencepiece_codec, token_counts
+from . import chat_format, collocations, langid, license_scan, line_dedup, media, ngram_join, packing, quality, resampling, sentencepiece_codec, token_counts
 from .common import checkpoint_root, materialise, table
 
 
@@ -73,11 +73,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_license_scan, op3_line_dedup, op4_token_counts, op5_ngram_join, op6_best_fit_packing, op7_chat_format, op8_media_columns, op9_quality_rules, op10_language_id)
+    for f in (op1_sentencepiece, op2_license_scan, op3_line_dedup, op4_token_counts, op5_ngram_join, op6_best_fit_packing, op7_chat_format, op8_media_columns, op9_quality_rules, op10_language_id, op11_collocations, op13_importance_resampling)
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": license_scan.oracle_sql(),
+    "op11_collocations": collocations.oracle_sql(),
 }
