@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, collocations, langid, license_scan, line_dedup, media, ngram_join, packing, quality, resampling, sentencepiece_codec, token_counts
+from . import chat_format, collocations, langid, license_scan, line_dedup, media, ngram_join, packing, quality, resampling, sentencepiece_codec, suffix_dedup, token_counts
 from .common import checkpoint_root, materialise, table
 
 
@@ -77,13 +77,19 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 200)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cleaned.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_license_scan, op3_line_dedup, op4_token_counts, op5_ngram_join, op6_best_fit_packing, op7_chat_format, op8_media_columns, op9_quality_rules, op10_language_id, op11_collocations, op13_importance_resampling)
+    for f in (op1_sentencepiece, op2_license_scan, op3_line_dedup, op4_token_counts, op5_ngram_join, op6_best_fit_packing, op7_chat_format, op8_media_columns, op9_quality_rules, op10_language_id, op11_collocations, op12_suffix_dedup, op13_importance_resampling)
 }
 
 ORACLE_SQL: dict[str, str] = {
