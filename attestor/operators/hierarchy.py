@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 import math
 
 import numpy as np
@@ -85,16 +86,17 @@ def centroids(points: DataFrame, group: str) -> DataFrame:
     return sums.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("vector"))
 
 
-def route(questions: DataFrame, documents: DataFrame, sections: DataFrame, chunks: DataFrame, k: int = 10, n_documents: int = DOCUMENTS, n_sections: int = SECTIONS) -> DataFrame:
+def route(questions: DataFrame, documents: DataFrame, sections: DataFrame, chunks: DataFrame, k: int = 10, n_documents: int = DOCUMENTS, n_sections: int = SECTIONS, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """``(query_id, doc_id, score, rank, document_id, section_id)``: best chunks inside the best sections of the best documents.
 
     ``documents`` (document_id, vector), ``sections`` (section_id, document_id, vector), ``chunks`` (doc_id, section_id, document_id,
     vector), ``questions`` (query_id, vector). Each level's winners, at most ``n`` per question, are the semi-join of the next.
+    ``keep`` keeps the chunks (query_id, doc_id, ...) that a question may have, before the best are chosen.
     """
     top = knn_topk(documents.select(F.col("document_id").alias("doc_id"), "vector"), questions, n_documents).select("query_id", F.col("doc_id").alias("document_id"), F.col("score").alias("document_score"))
     inside = sections.join(top, "document_id").join(questions.withColumnRenamed("vector", "_q"), "query_id")
     best = ranked(inside.select("query_id", "section_id", "document_id", "document_score", cosine(F.col("vector"), F.col("_q")).alias("score")), n_sections, "section_id")
     best = best.select("query_id", "section_id", "document_score", F.col("score").alias("section_score"))
     hits = chunks.join(best, "section_id").join(questions.withColumnRenamed("vector", "_q"), "query_id")
-    scored = hits.select("query_id", "doc_id", "document_id", "section_id", "document_score", "section_score", cosine(F.col("vector"), F.col("_q")).alias("score"))
+    scored = keep(hits).select("query_id", "doc_id", "document_id", "section_id", "document_score", "section_score", cosine(F.col("vector"), F.col("_q")).alias("score"))
     return ranked(scored, min(k, CHUNKS))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestor.sources.scratch import materialise
+
 from .lexical import PLACES, ranked
 
 #: Rows of a tile at most, and rows for which another task is worth while.
@@ -21,15 +24,18 @@ def cosine(a, b):
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def knn_topk(points: DataFrame, questions: DataFrame, k: int = 10, same: bool = True) -> DataFrame:
+def knn_topk(points: DataFrame, questions: DataFrame, k: int = 10, same: bool = True, admits: Callable[[pd.DataFrame, dict], np.ndarray] | None = None) -> DataFrame:
     """``(query_id, doc_id, score, rank)``: the ``k`` points (doc_id, vector) nearest to each question (query_id, vector).
 
     Points and questions are dealt to tiles of TILE at most, and each pair of tiles meets in one task, which multiplies them and
     keeps the best ``k`` per question. So no side is collected or broadcast whole, and tiles of points times questions times
     ``k`` rows are shuffled. Points without a vector, or of length 0, are invisible. Without ``same`` a point whose id is the
-    question's is left out before the best are chosen.
+    question's is left out before the best are chosen. ``admits`` (a tile of points, a question) tells which points a question may
+    have, from other columns of both; the best are chosen among those. Questions are written first, so that their vectors are made
+    once; points should be a table.
     """
-    points, questions = points.where("vector is not null"), questions.where("vector is not null")
+    points, questions = points.where("vector is not null"), materialise(questions.where("vector is not null"), "questions", keep=True)
+    of_points, of_questions = ([c for c in df.columns if c not in ("doc_id", "query_id", "vector")] if admits else [] for df in (points, questions))
     cores = points.sparkSession.sparkContext.defaultParallelism
     rows, asked = points.count(), questions.count()
     across = max(1, math.ceil(asked / TILE))
@@ -37,8 +43,8 @@ def knn_topk(points: DataFrame, questions: DataFrame, k: int = 10, same: bool =
     down = max(math.ceil(rows / TILE), min(cores, math.ceil(rows / LEAST)), 1)
     tile = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = points.select(tile("doc_id", down).alias("i"), all_of(across).alias("j"), "doc_id", "vector")
-    right = questions.select(all_of(down).alias("i"), tile("query_id", across).alias("j"), "query_id", F.col("vector").alias("asked"))
+    left = points.select(tile("doc_id", down).alias("i"), all_of(across).alias("j"), "doc_id", "vector", *of_points)
+    right = questions.select(all_of(down).alias("i"), tile("query_id", across).alias("j"), "query_id", F.col("vector").alias("asked"), *of_questions)
 
     def units(vectors: pd.Series) -> np.ndarray:
         x = np.array(vectors.tolist(), dtype=np.float64)
@@ -54,6 +60,9 @@ def knn_topk(points: DataFrame, questions: DataFrame, k: int = 10, same: bool =
         told = np.round(scores, PLACES) + 0.0
         if not same:
             told[ids[:, None] == names[None, :]] = -np.inf
+        if admits:
+            for i, one in enumerate(q[of_questions].to_dict("records")):
+                told[i, ~admits(p, one)] = -np.inf
         order = np.array([str(n) for n in names])
         rows, columns = [], []
         for i, s in enumerate(told):

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attestor.functions import text as T
-from attestor.operators import fusion, grading, hierarchy, lexical, selection, understanding, vectors, versions
+from attestor.operators import fusion, grading, hierarchy, lexical, scopes, selection, understanding, vectors, versions
+from attestor.operators.scopes import Scopes
 from attestor.operators.versions import Constraints
 from attestor.sources.scratch import materialise
 
@@ -81,25 +82,34 @@ def widened(k: int, times: int, most: int) -> int:
     return max(k, min(k * times, most))
 
 
-def inside(rows: DataFrame, allowed: DataFrame | None) -> DataFrame:
+Allowed = DataFrame | Scopes | None
+
+
+def inside(rows: DataFrame, allowed: Allowed) -> DataFrame:
+    """Rows that are allowed: of all questions the same documents (doc_id), or of each those in its scope."""
+    if isinstance(allowed, Scopes):
+        return allowed.inside(rows)
     return rows if allowed is None else rows.join(allowed.select("doc_id"), "doc_id", "left_semi")
 
 
-def baseline(corpus: Corpus, questions: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
-    return vectors.knn_topk(inside(corpus.points, allowed), embedded(corpus, questions), k)
+def baseline(corpus: Corpus, questions: DataFrame, k: int, allowed: Allowed = None) -> DataFrame:
+    asked = embedded(corpus, questions)
+    if isinstance(allowed, Scopes):
+        return vectors.knn_topk(allowed.points(corpus.points), allowed.questions(asked), k, admits=scopes.admitted_rows)
+    return vectors.knn_topk(inside(corpus.points, allowed), asked, k)
 
 
-def keyword(corpus: Corpus, questions: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+def keyword(corpus: Corpus, questions: DataFrame, k: int, allowed: Allowed = None) -> DataFrame:
     """Statistics stay those of the whole corpus; documents that are not allowed go before the best are chosen."""
     return lexical.ranked(inside(lexical.bm25_scores(corpus.index or corpus.documents.select("doc_id", "text"), questions), allowed), k)
 
 
-def hybrid(corpus: Corpus, questions: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+def hybrid(corpus: Corpus, questions: DataFrame, k: int, allowed: Allowed = None) -> DataFrame:
     wide = widened(k, 4, 100)
     return fusion.reciprocal_rank_fusion([("vector", 1.0, baseline(corpus, questions, wide, allowed)), ("keyword", 1.0, keyword(corpus, questions, wide, allowed))], k)
 
 
-def contextual(corpus: Corpus, questions: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+def contextual(corpus: Corpus, questions: DataFrame, k: int, allowed: Allowed = None) -> DataFrame:
     """Hybrid over the texts with context; what is found are the documents themselves."""
     if corpus.contextual is None:
         return hybrid(corpus, questions, k, allowed)
@@ -108,30 +118,34 @@ def contextual(corpus: Corpus, questions: DataFrame, k: int, allowed: DataFrame
     return hybrid(own, questions, k, allowed)
 
 
-def multi_query(corpus: Corpus, questions: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+def multi_query(corpus: Corpus, questions: DataFrame, k: int, allowed: Allowed = None) -> DataFrame:
     """Fusion over the question and its variants, each of which is asked on its own."""
     original = questions.select("query_id", F.lit(0).alias("position"), "question")
     variants = fusion.distinct_variants(original.unionByName(corpus.providers.variants(questions)))
-    asked = variants.select(F.to_json(F.struct("query_id", "variant")).alias("query_id"), "question")
+    asked = variants.select(F.to_json(F.struct("query_id", "variant")).alias("query_id"), "question", F.col("query_id").alias("_id"))
+    if isinstance(allowed, Scopes):
+        allowed = allowed.renamed(asked.select(F.col("_id").alias("query_id"), F.col("query_id").alias("new_id")))
+    asked = asked.drop("_id")
     hits = hybrid(corpus, asked, widened(k, 2, 100), allowed)
     told = hits.withColumn("pair", F.from_json("query_id", f"query_id {questions.schema['query_id'].dataType.simpleString()}, variant int"))
     return fusion.fuse_variants(told.select("pair.query_id", "pair.variant", "doc_id", "rank"), k)
 
 
-def hierarchical(corpus: Corpus, questions: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+def hierarchical(corpus: Corpus, questions: DataFrame, k: int, allowed: Allowed = None) -> DataFrame:
     """Best documents, their best sections, the sections' best chunks. Questions that this finds nothing for get the nearest chunks of all."""
     fallback = lambda q: baseline(corpus, q, k, allowed).select("query_id", "doc_id", "score", "rank")
     if corpus.sections is None:
         return fallback(questions)
-    chunks = inside(corpus.points, allowed).join(corpus.sections, "doc_id")
+    scoped = isinstance(allowed, Scopes)
+    chunks = inside(corpus.points, None if scoped else allowed).join(corpus.sections, "doc_id")
     documents = hierarchy.centroids(chunks, "document_id")
     sections = hierarchy.centroids(chunks, "section_id").join(chunks.select("section_id", "document_id").distinct(), "section_id")
-    found = hierarchy.route(embedded(corpus, questions), documents, sections, chunks, k).select("query_id", "doc_id", "score", "rank")
+    found = hierarchy.route(embedded(corpus, questions), documents, sections, chunks, k, keep=allowed.inside if scoped else lambda rows: rows).select("query_id", "doc_id", "score", "rank")
     found = materialise(found, "routed", keep=True)
     return found.unionByName(fallback(questions.join(found.select("query_id").distinct(), "query_id", "left_anti")))
 
 
-def rerank(corpus: Corpus, questions: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+def rerank(corpus: Corpus, questions: DataFrame, k: int, allowed: Allowed = None) -> DataFrame:
     """Hybrid candidates in the scorer's order."""
     wide = hybrid(corpus, questions, widened(k, 4, 40), allowed)
     return scored(corpus, questions, wide, k).select("query_id", "doc_id", F.col("score_used").alias("score"), "rank")
@@ -145,6 +159,7 @@ def scored(corpus: Corpus, questions: DataFrame, hits: DataFrame, k: int | None
 
 PIPELINES: dict[str, Callable[..., DataFrame]] = {
     "baseline": baseline,
+    "keyword": keyword,
     "hybrid": hybrid,
     "contextual": contextual,
     "multi_query": multi_query,
@@ -170,27 +185,72 @@ class Plan:
             raise ValueError("top_k must be positive")
 
 
-def execute(corpus: Corpus, questions: DataFrame, plan: Plan) -> DataFrame:
+def execute(corpus: Corpus, questions: DataFrame, plan: Plan, own: DataFrame | None = None, preferred: DataFrame | None = None) -> DataFrame:
     """``(query_id, doc_id, rank, score, document_id, version_number, ...)``: evidence of every question in one plan.
 
     What a constraint can tell of a document alone is applied before retrieval; what compares versions, to the candidates, of
     which there are then four times as many; after that come reranking and document quotas. ``corpus.documents`` has the columns
     that constraints ask for: document_id, version_number, is_latest, published_at, uploaded_at, title, filename.
+
+    ``own``: a scope for each question (query_id and the fields of ``operators.scopes``), which inherits from the plan's
+    constraints what it leaves open; the result then tells in ``fallback_scan`` which rows were found without the stored names.
+    ``preferred`` (query_id, document_key): the document that quotas prefer for a question.
     """
-    c = plan.constraints
-    allowed = corpus.documents.where(versions.pushdown(c)) if c.active else None
-    wide = widened(plan.top_k, 4, 100) if c.active or plan.rerank or plan.balance else plan.top_k
-    hits = PIPELINES[plan.pipeline](corpus, questions, wide, allowed).select("query_id", "doc_id", "score", "rank")
-    told = hits.join(corpus.documents.drop("text"), "doc_id")
-    told = versions.constrain(told, c) if c.active else told
+    if own is not None:
+        told = scoped_hits(corpus, questions, own, plan)
+    else:
+        c = plan.constraints
+        allowed = corpus.documents.where(versions.pushdown(c)) if c.active else None
+        wide = widened(plan.top_k, 4, 100) if c.active or plan.rerank or plan.balance else plan.top_k
+        hits = PIPELINES[plan.pipeline](corpus, questions, wide, allowed).select("query_id", "doc_id", "score", "rank")
+        told = hits.join(corpus.documents.drop("text"), "doc_id")
+        told = versions.constrain(told, c) if c.active else told
     if plan.rerank:
         told = scored(corpus, questions, told).withColumn("score", F.col("score_used")).drop("rerank_score", "score_used", "fallback", "original_rank")
     if plan.balance:
-        named = told.withColumn("document_key", F.col("document_id").cast("string")).withColumn("is_primary", F.lit(False))
+        named = told.withColumn("document_key", F.col("document_id").cast("string"))
+        if preferred is None:
+            named = named.withColumn("is_primary", F.lit(False))
+        else:
+            first = preferred.select("query_id", F.col("document_key").cast("string").alias("document_key"), F.lit(True).alias("is_primary"))
+            named = named.join(first, ["query_id", "document_key"], "left").na.fill(False, ["is_primary"])
         return selection.balance(named, plan.top_k).withColumn("rank", F.col("selected_rank")).drop("selected_rank", "document_key", "is_primary")
     return told.where(F.col("rank") <= plan.top_k)
 
 
+def scoped_hits(corpus: Corpus, questions: DataFrame, own: DataFrame, plan: Plan) -> DataFrame:
+    """Candidates of each question inside its own scope, with the documents' columns and ``fallback_scan``.
+
+    Questions whose scope asks for something are asked for four times as many candidates than is wanted, the others for as many
+    as the plan wants. A question that gets nothing by the names that the store has ready is asked once more without them, and
+    what it finds is held against all names of its documents: older rows may not have their names ready.
+    """
+    spark = questions.sparkSession
+    own = own.select("query_id", *scopes.FIELDS)
+    if plan.constraints.active:
+        own = scopes.inherited(scopes.complete(own, questions), questions.select("query_id").join(F.broadcast(scopes.scope_table(spark, [((), plan.constraints)], "").select(*scopes.FIELDS)), how="cross"))
+    table = materialise(scopes.complete(own, questions).withColumn("active", scopes.active()), "scopes", keep=True)
+    facts = scopes.facts(corpus.documents)
+    pipeline = PIPELINES[plan.pipeline]
+    asked = questions.join(table.where("active").select("query_id"), "query_id", "left_semi")
+    free = questions.join(table.where("active").select("query_id"), "query_id", "left_anti")
+    wide = widened(plan.top_k, 4, 100)
+    hits = lambda q, k, scope: pipeline(corpus, q, k, scope).select("query_id", "doc_id", "score", "rank")
+    found = []
+    if not table.where("active").isEmpty():
+        first = materialise(hits(asked, wide, Scopes(table, facts)).withColumn("fallback_scan", F.lit(False)), "scoped", keep=True)
+        again = materialise(table.where("size(names) > 0").join(first.select("query_id").distinct(), "query_id", "left_anti"), "again", keep=True)
+        if not again.isEmpty():
+            q = asked.join(again.select("query_id"), "query_id", "left_semi")
+            first = first.unionByName(hits(q, wide, Scopes(again.withColumn("names", F.array().cast("array<string>")), facts)).withColumn("fallback_scan", F.lit(True)))
+        found.append(scopes.constrain(first.join(corpus.documents.drop("text"), "doc_id"), table, facts))
+    if not table.where("not active").isEmpty():
+        found.append(hits(free, wide if plan.rerank or plan.balance else plan.top_k, None).withColumn("fallback_scan", F.lit(False)).join(corpus.documents.drop("text"), "doc_id"))
+    if not found:
+        found.append(hits(questions, plan.top_k, None).withColumn("fallback_scan", F.lit(False)).join(corpus.documents.drop("text"), "doc_id"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def evaluate(corpus: Corpus, cases: DataFrame, expectations: DataFrame, plan: Plan, ks: tuple[int, ...] = (1, 5, 10)) -> tuple[DataFrame, DataFrame]:
     """``(per case, report)`` of a dataset that one plan answers whole: recall at each k and reciprocal rank.
 
@@ -225,7 +285,7 @@ def resolve_needs(corpus: Corpus, needs: DataFrame, limits: Limits = Limits()) -
     """
     kind, confidence = understanding.classify(F.col("need"))
     first = understanding.strategy(F.col("need"), kind, confidence, understanding.hints(F.col("need")) != "", hierarchical=corpus.sections is not None)
-    names = list(PIPELINES)
+    names = list(understanding.FALLBACKS)
     later = F.create_map(*[x for n in names for x in (F.lit(n), F.array(F.lit(n), *[F.lit(f) for f in understanding.FALLBACKS[n]]))])
     states = needs.select("query_id", "need_id", "need", first.alias("strategy"), F.lit(limits.top_k).alias("top_k"), F.lit(0).alias("attempts"), F.lit("pending").alias("status"), F.lit(0.0).alias("coverage"))
     states = states.withColumn("order", later[F.col("strategy")])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +55,8 @@ def searchable(points: DataFrame, contextual: bool = False) -> DataFrame:
 def write_points(points: DataFrame, path: str, by: str = "document_version_id") -> None:
     """Points as Parquet, range-partitioned and sorted by version, so that one version's points lie in few files and row groups."""
     points.repartitionByRange(by).sortWithinPartitions(by).write.mode("append").parquet(path)
+
+
+def typed_union(parts: list[DataFrame], spark: SparkSession, schema: str) -> DataFrame:
+    """All rows of ``parts``; without parts, an empty table of ``schema``."""
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
