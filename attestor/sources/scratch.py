@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,21 +36,24 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-_open: list[list[str]] = []
+#: Paths of the scratches around this place, of this thread alone.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that ``materialise`` writes in here are deleted at the end, but for those written with ``keep``."""
-    _open.append([])
+    own: list[str] = []
+    before = _open.set((*_open.get(), own))
     try:
         yield
     finally:
-        for path in _open.pop():
+        _open.reset(before)
+        for path in own:
             delete(spark, path)
 
 
-def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def materialise(df: DataFrame, name: str, keep: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back.
 
     It cuts the lineage: what follows reads files, so a lost executor costs a re-read, not a recomputation. The table goes at
@@ -57,9 +61,9 @@ def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/attestor/{name}-{uuid.uuid4().hex}"
-    if _open and not keep:
-        _open[-1].append(path)
-    df.write.parquet(path)
+    if _open.get() and not keep:
+        _open.get()[-1].append(path)
+    df.write.parquet(path, partitionBy=list(by) or None)
     fs, p = files(spark, path)
     fs.deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
