@@ -6,9 +6,9 @@ A scope has ``names`` (documents, as they compare), ``mode`` and ``versions`` (o
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timezone
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from attestor.functions import text as T
 from attestor.sources.scratch import small
 
-from . import understanding, versions
+from . import understanding, versions, wording
 
 RANGES = ("published", "uploaded", "any_recorded")
 FIELDS = ("names", "mode", "versions", *RANGES)
@@ -35,12 +35,15 @@ def scope_table(spark: SparkSession, scopes: Iterable[tuple[tuple, versions.Cons
     return spark.createDataFrame(rows, ", ".join(x for x in (keys, SCHEMA) if x))
 
 
-def detected(questions: DataFrame, now: datetime, fields: Callable[[DataFrame, datetime], DataFrame] = understanding.question_scopes) -> DataFrame:
-    """``(query_id, scope fields)`` that the wording of questions (query_id, question) asks for; ``fields`` finds names and dates."""
+def detected(questions: DataFrame, now: datetime, zone: Column | None = None) -> DataFrame:
+    """``(query_id, scope fields)`` that the wording of questions (query_id, question) asks for: names, versions and dates.
+
+    ``now`` is taken as UTC if it has no zone; ``zone``: the time zone of a question's days.
+    """
     mode, numbers, _ = understanding.version_intent(F.col("question"))
-    told = questions.select("query_id", mode.alias("mode"), F.when(mode == "specific", numbers).alias("versions")).join(fields(questions, now), "query_id")
-    range_of = lambda name: F.when(F.col("field") == name, F.struct("start", "end")).cast(_RANGE)
-    return told.select("query_id", "names", "mode", "versions", *[range_of(n).alias(r) for r, n in zip(RANGES, ("published_at", "uploaded_at", "any_recorded"), strict=True)])
+    utc = now.astimezone(timezone.utc).replace(tzinfo=None) if now.tzinfo else now
+    told = questions.select("query_id", mode.alias("mode"), F.when(mode == "specific", numbers).alias("versions"))
+    return told.join(wording.question_scopes(questions, F.lit(utc.isoformat(" ")), zone), "query_id").select("query_id", *FIELDS)
 
 
 def _asked(field: str, c: Callable[[str], Column]) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestor.operators import scopes
+from attestor.operators import scopes, wording
 from attestor.plans import pipelines
 
 from . import corpus, planning, retrieval
@@ -139,3 +139,36 @@ def _(spark, d):
     start = lambda r: F.unix_timestamp(F.col(r).getField("start")).alias(r)
     told = scopes.inherited(needs, q)
     return told.select("query_id", F.get("names", F.lit(0)).alias("first_name"), "mode", F.get("versions", F.lit(0)).cast("long").alias("first_version"), *map(start, scopes.RANGES))
+
+
+#: Questions around the benchmark's whole texts, and what their wording asks for: names, then the ends of published, uploaded and any recorded date.
+_ASKED = (
+    ("Find documents uploaded in May 2026 about {}", (), None, ("2026-05-01", "2026-06-01"), None),
+    ("Use policies published on March 15, 2025. {}", (), ("2025-03-15", "2025-03-16"), None, None),
+    ("Show documents uploaded in the last 3 months on {}", (), None, ("2026-04-18 12:00:00", "2026-07-18 12:00:00"), None),
+    ("Only use data from August: {}", (), None, None, ("2025-08-01", "2025-09-01")),
+    ("What changed in the API since 2020? {}", (), None, None, None),
+    ("Which were uploaded and published in 2023: {}", (), ("2023-01-01", "2024-01-01"), ("2023-01-01", "2024-01-01"), None),
+    ("files imported between 2024-01-05 and 7/3/2024 {}", (), None, ("2024-01-05", "2024-03-08"), None),
+    ("documents released before 2024-13-45 and 2023 {}", (), None, None, None),
+    ('Only use "Architecture Guide" and plan_v4 to answer {}', ("Architecture Guide", "plan_v4"), None, None, None),
+    ("According to Realization_Draft5.pdf, issued after Feb 29, 2024, what of {}", ("Realization_Draft5.pdf",), ("2024-03-01", None), None, None),
+    ("Use the oldest version of the Finance report, added until 2021: {}", ("Finance",), None, (None, "2022-01-01"), None),
+)
+
+
+def _asked_sql(of: str, i: int) -> str:
+    ends = lambda a: [None if a is None else a[k] for k in (0, 1)]
+    return f"case item_id % {len(_ASKED)} " + " ".join(f"when {n} then timestamp '{v}'" for n, a in enumerate(_ASKED) if (v := ends(a[of])[i])) + " end"
+
+
+@query("question_scopes", f"""select item_id as query_id, case item_id % {len(_ASKED)} {" ".join(f"when {n} then '{'|'.join(a[1])}'" for n, a in enumerate(_ASKED))} end as names,
+    {", ".join(f"epoch({_asked_sql(of, i)})::bigint as {name}_{end}" for of, name in ((2, "published"), (3, "uploaded"), (4, "any_recorded")) for i, end in enumerate(("start", "end")))} from benchmark""")
+def _(spark, d):
+    q = corpus.questions(spark, d)
+    asked = F.lit(None).cast("string")
+    for n, (template, *_) in enumerate(_ASKED):
+        before, after = template.split("{}")
+        asked = F.when(F.col("query_id") % len(_ASKED) == n, F.concat(F.lit(before), "question", F.lit(after))).otherwise(asked)
+    told = wording.question_scopes(q.withColumn("question", asked), F.lit("2026-07-18 12:00:00"))
+    return told.select("query_id", F.array_join("names", "|").alias("names"), *[F.unix_timestamp(F.col(r).getField(e)).alias(f"{r}_{e}") for r in scopes.RANGES for e in ("start", "end")])
