@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestor.operators import fusion, hierarchy, lexical, term_blocks, vectors
+from attestor.operators import fusion, hierarchy, lexical, term_blocks, vector_table, vectors
 from attestor.sources.scratch import materialise
 from attestor.sources.tables import table
 
@@ -71,6 +71,14 @@ def knn_topk(spark, d):
     return found.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+@query("knn_table", f"with {KNN_SQL} select query_id, doc_id, rank, round(score, 6) as score from (select *, {_KNN_RANK} as rank from scored) where rank <= 10")
+def _(spark, d):
+    p = points(spark, d)
+    size = p.select(F.size("vector").alias("n")).first().n
+    found = vector_table.table_topk(vector_table.build_table(p, size), point_questions(spark, d), 10)
+    return found.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 @query("knn_filtered", f"with {KNN_SQL} select query_id, doc_id, rank, round(score, 6) as score from (select *, {_KNN_RANK} as rank from scored where label in (1, 3, 5)) where rank <= 10")
 def _(spark, d):
     found = vectors.knn_topk(points(spark, d).where(F.col("label").isin(1, 3, 5)), point_questions(spark, d), 10)
