@@ -1,123 +1,148 @@
 """Phrase collocations by hierarchical pair naming.
 
 Words that are frequent get ids; a phrase of k words is the pair of the ids of its first and its last k - 1 words, and frequent pairs
-get ids of their own, in rounds. Texts are cut once into blocks of local codes. In each round a block's distinct codes, not its
-occurrences, are joined with the ids that all blocks together have given; adjacent ids are then counted inside the block. The pair
-of ids that names a phrase also points at its two parents, from which the counts of both sides of each cut are read, and to which a
-longer phrase that holds them is told.
+get ids of their own, in rounds. Texts are cut once into blocks of local codes. In each round a block's distinct pairs, not its
+occurrences, meet those of all blocks: they are counted, and the frequent ones bring their new id back to the places in the blocks that
+have them. A name has at most one row from a block, so no name gathers more rows than there are blocks. The pair of ids that names a
+phrase also points at its two parents, from which the counts of both sides of each cut are read, and to which a longer phrase that
+holds them is told.
 """
 
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, scratch, small
 
 #: Bytes of text after which a block of codes ends; a longer text is a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 8 << 20
+#: Bytes of a phrase with its counts in a hash table, about.
+ROW_BYTES = 224
 #: Parts in which a language's phrases are ranked before their best meet.
 SALTS = 64
 #: A-Z become a-z, the bytes .,;:!? and line breaks become \n, a tab a blank.
 PHRASE_BYTES = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if b == 9 else b for b in range(256))
 
 
-def _packed(codes: np.ndarray, size: int) -> bytes:
-    """Codes from -1 to ``size`` - 1 in two bytes each where they fit, the width in front."""
-    kind = "<u2" if size < 2**16 - 1 else "<u4"
-    return kind[-1:].encode() + (codes + 1).astype(kind).tobytes()
+#: Distinct codes of a block in a row at most: rows stay small, whatever a block holds.
+ENTRIES = 8192
+#: Texts of a batch that are in Python's memory at once.
+SLICE = 256
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[:1].decode()}", offset=1).astype(np.int64) - 1
+def _packed(codes: np.ndarray) -> bytes:
+    """Codes from -1 on, compressed."""
+    return zstandard.compress((codes + 1).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)  # the four bytes apart
 
 
-def _block_id() -> int:
-    return uuid.uuid4().int >> 65
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64) - 1
 
 
 def word_blocks(docs: DataFrame) -> DataFrame:
-    """``block, lang, words, counts, codes``: texts in blocks of one language, as places in the block's list of distinct words.
+    """``block, lang, first, words, counts, codes``: texts in blocks of one language, as places in the block's list of distinct words.
 
-    A piece ends with code -1. Null texts count as empty, a null lang as ``und``.
+    A row has ENTRIES of the words from place ``first`` on; the first row has the codes of the texts, where -1 ends a piece. Null
+    texts count as empty, a null lang as ``und``.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_blocks: dict[str, list] = {}
 
-        def close(lang: str) -> pa.RecordBatch:
+        def close(lang: str) -> Iterator[pa.RecordBatch]:
             vocabulary, codes, _ = open_blocks.pop(lang)
-            codes = np.asarray(codes, np.int64)
+            codes, block = np.asarray(codes, np.int64), uuid.uuid4().int >> 65
             counts = np.bincount(codes[codes >= 0], minlength=len(vocabulary))
-            values = [[_block_id()], [lang], [[w.decode() for w in vocabulary]], [counts.tolist()], [_packed(codes, len(vocabulary))]]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()), strict=True)], ["block", "lang", "words", "counts", "codes"])
+            words = [w.decode() for w in vocabulary]
+            for first in range(0, max(1, len(words)), ENTRIES):
+                lists = pa.array([words[first : first + ENTRIES]], pa.list_(pa.string())), pa.array([counts[first : first + ENTRIES]], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([lang], pa.string()), pa.array([first], pa.int32()), *lists, pa.array([None if first else _packed(codes)], pa.binary())], ["block", "lang", "first", "words", "counts", "codes"])
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                block = open_blocks.get(lang)
-                if block is None:
-                    block = open_blocks[lang] = [defaultdict(count().__next__), [], 0]
-                vocabulary, codes, _ = block
-                for piece in text.translate(PHRASE_BYTES).split(b"\n"):
-                    if words := piece.split(b" "):
-                        codes += [vocabulary[w] for w in words if w]
+            for start in range(0, batch.num_rows, SLICE):
+                for lang, text in zip(*(c.slice(start, SLICE).to_pylist() for c in batch.columns), strict=True):
+                    block = open_blocks.get(lang)
+                    if block is None:
+                        block = open_blocks[lang] = [defaultdict(count().__next__), array("i"), 0]
+                    vocabulary, codes, _ = block
+                    for piece in text.translate(PHRASE_BYTES).split(b"\n"):
+                        codes.extend([vocabulary[w] for w in piece.split(b" ") if w])
                         codes.append(-1)
-                block[2] += len(text)
-                if block[2] >= BLOCK_BYTES:
-                    yield close(lang)
+                    block[2] += len(text)
+                    if block[2] >= BLOCK_BYTES:
+                        yield from close(lang)
         for lang in list(open_blocks):
-            yield close(lang)
+            yield from close(lang)
 
     rows = docs.where("text <> ''").select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary"))
-    return rows.mapInArrow(cut, "block long, lang string, words array<string>, counts array<long>, codes binary")
+    return rows.mapInArrow(cut, "block long, lang string, first int, words array<string>, counts array<long>, codes binary")
 
 
-def pair_blocks(blocks: DataFrame) -> DataFrame:
-    """``block, lang, left, right, counts, codes``: a block's adjacent pairs of ids.
+def paired(codes: np.ndarray, named: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of adjacent (``k`` - 1)-grams of a block: ids left and right, counts, and the new codes (-1: no pair).
 
-    ``blocks``: ``block, lang, codes, named`` with the ids of those codes that are frequent. Pairs that have an infrequent side,
-    or stand on both sides of a piece's end, are none.
+    ``named``: places and ids of the frequent grams of 1 to ``k`` - 1 words. The places of grams are those of the distinct pairs
+    in order, so each round finds the rounds before again from the words' codes and the names.
+    """
+    for size in range(1, k):
+        places, ids = named.get(size, (np.empty(0, np.int64),) * 2)
+        local = np.full(max(codes.max(initial=-1), places.max(initial=-1)) + 2, -1, np.int64)  # the last place is that of code -1
+        local[places] = np.arange(len(places))
+        at = local[codes]
+        valid = (at[:-1] >= 0) & (at[1:] >= 0)
+        found, new, counts = np.unique(at[:-1][valid] * max(1, len(places)) + at[1:][valid], return_inverse=True, return_counts=True)
+        codes = np.full(len(valid), -1, np.int64)
+        codes[valid] = new
+    return ids[found // max(1, len(places))], ids[found % max(1, len(places))], counts, codes
+
+
+def pair_entries(codes: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """``block, at, left, right``: the distinct pairs of each block that name phrases of ``k`` words; ``at``: their place and count (_at).
+
+    ``codes`` (block, codes), ``ids`` (block, size, place, id) of the frequent grams of 1 to ``k`` - 1 words. Pairs that have an
+    infrequent side, or stand on both sides of a piece's end, are none.
     """
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                codes = _unpacked(batch.column("codes")[i].as_py())
-                named = batch.column("named")[i].values
-                places, names = named.field(0).to_numpy(), named.field(1).to_numpy()
-                ids = np.full(max(codes.max(initial=-1), places.max(initial=-1)) + 2, -1, np.int64)  # the last place is that of code -1
-                ids[places] = np.arange(len(places))
-                at = ids[codes]
-                valid = (at[:-1] >= 0) & (at[1:] >= 0)
-                found, local, counts = np.unique(at[:-1][valid] * len(places) + at[1:][valid], return_inverse=True, return_counts=True)
-                new = np.full(len(valid), -1, np.int64)
-                new[valid] = local
-                left, right = names[found // max(1, len(places))], names[found % max(1, len(places))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column("block")[i].as_py()], pa.int64()), pa.array([batch.column("lang")[i].as_py()], pa.string()), *(pa.array([x], pa.list_(pa.int64())) for x in (left, right, counts)), pa.array([_packed(new, len(found))], pa.binary())],
-                    ["block", "lang", "left", "right", "counts", "codes"],
-                )
-
-    return blocks.select("block", "lang", "codes", "named").mapInArrow(pairs, "block long, lang string, left array<long>, right array<long>, counts array<long>, codes binary")
-
-
-def _entries(blocks: DataFrame, *names: str) -> DataFrame:
-    """A row for each distinct code of a block."""
-    return blocks.select("block", "lang", F.posexplode(F.arrays_zip(*names, "counts")).alias("place", "entry")).select("block", "lang", "place", "entry.*")
-
-
-def _named(blocks: DataFrame, frequent: DataFrame, names: list[str]) -> DataFrame:
-    """``blocks`` with ``named``: place and id of each frequent code. Blocks without any go."""
-    ids = _entries(blocks, *names).drop("counts").join(small(frequent.select("id", "lang", *names), 160), ["lang", *names])
-    lists = ids.groupBy("block").agg(F.collect_list(F.struct("place", "id")).alias("named"))
-    return blocks.select("block", "lang", "codes").join(lists, "block")
+    def pairs(block: pa.Table, found: pa.Table) -> pa.Table:
+        left = right = counts = np.empty(0, np.int64)
+        if block.num_rows and found.num_rows:
+            sizes, places, names = (found.column(c).to_numpy() for c in ("size", "place", "id"))
+            named = {n: (places[sizes == n], names[sizes == n]) for n in range(1, k)}
+            named = {n: tuple(x[np.argsort(p)] for x in (p, i)) for n, (p, i) in named.items()}
+            left, right, counts, _ = paired(_unpacked(block.column("codes")[0].as_py()), named, k)
+        whose = np.full(len(left), block.column("block")[0].as_py() if block.num_rows else 0, np.int64)
+        return pa.table({"block": whose, "at": np.arange(len(left)) << 32 | counts, "left": left, "right": right})
+
+    theirs = ids.select(F.col("block").alias("of"), "size", "place", "id")
+    return codes.groupBy("block").cogroup(theirs.groupBy("of")).applyInArrow(pairs, "block long, at long, left long, right long")
+
+
+def _at(place: Column, n: Column) -> Column:
+    """A name's place and count in a block, which has fewer than 2 ** 31 words, as one number."""
+    return F.shiftleft(place.cast("long"), 32).bitwiseOR(n.cast("long"))
+
+
+def _count(at: str) -> Column:
+    return F.col(at).bitwiseAND(F.lit(2**32 - 1))
+
+
+def _named(entries: DataFrame, keys: list[str], least_count: int) -> DataFrame:
+    """``block, place, keys, f, id`` of the entries (block, at, keys) whose name, told by ``keys``, all blocks together have often enough."""
+    name = Window.partitionBy(*keys)
+    told = entries.repartition(*keys).withColumn("_row", F.monotonically_increasing_id())
+    told = told.select("block", F.shiftright("at", 32).alias("place"), *keys, F.sum(_count("at")).over(name).alias("f"), F.min("_row").over(name).alias("id"))
+    return told.where(F.col("f") >= least_count)
 
 
 def frequent_phrases(docs: DataFrame, most: int = 3, least_count: int = 10) -> tuple[list[DataFrame], DataFrame]:
@@ -127,24 +152,29 @@ def frequent_phrases(docs: DataFrame, most: int = 3, least_count: int = 10) -> t
     ``tails`` (counts of its first and its last 1 to k words).
     """
     blocks = materialise(word_blocks(docs), "blocks")
-    entries = _entries(blocks, "words")
+    codes = blocks.where("codes is not null").select("block", "codes")
     totals = materialise(blocks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "totals", keep=True)
-    found = entries.groupBy("lang", F.col("words").alias("word")).agg(F.sum("counts").alias("f")).where(F.col("f") >= least_count)
-    found = found.select(F.monotonically_increasing_id().alias("id"), "lang", F.array("word").alias("words"), "f", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), F.array("f").alias("heads"), F.array("f").alias("tails"), "word")
-    tables = [materialise(found, "words", keep=True)]
-    blocks = _named(blocks, tables[0].select("id", "lang", F.col("word").alias("words")), ["words"])
+    entries = blocks.select("block", "lang", "first", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "entry")).select("block", _at(F.col("first") + F.col("at"), F.col("entry.counts")).alias("at"), "lang", F.col("entry.words").alias("word"))
+    named = materialise(_named(entries, ["lang", "word"], least_count), "named")
+    own = named.groupBy("id").agg(*[F.first(c).alias(c) for c in ("lang", "word", "f")])
+    own = own.select("id", "lang", F.array("word").alias("words"), "f", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), F.array("f").alias("heads"), F.array("f").alias("tails"))
+    tables, ids = [materialise(own, "words", keep=True)], named.select("block", F.lit(1).alias("size"), "place", "id")
     for k in range(2, most + 1):
-        blocks = materialise(pair_blocks(blocks), "pairs")
-        found = _entries(blocks, "left", "right").groupBy("lang", "left", "right").agg(F.sum("counts").alias("f")).where(F.col("f") >= least_count)
-        side = lambda name: small(tables[-1], 400).select(F.col("id").alias(name), F.col("words").alias(f"{name}_words"), F.col("heads").alias(f"{name}_heads"), F.col("tails").alias(f"{name}_tails"))  # noqa: B023, E731
-        found = found.join(side("left"), "left").join(side("right"), "right")
+        entries = pair_entries(codes, ids, k)
+        # an id belongs to one language, so pairs of ids do
+        if k < most:
+            named = materialise(_named(entries, ["left", "right"], least_count), "named")
+            ids = ids.unionByName(named.select("block", F.lit(k).alias("size"), "place", "id"))
+            found = named.groupBy("id").agg(*[F.first(c).alias(c) for c in ("left", "right", "f")])
+        else:
+            found = entries.groupBy("left", "right").agg(F.sum(_count("at")).alias("f")).where(F.col("f") >= least_count).withColumn("id", F.monotonically_increasing_id())
+        side = lambda name, *more: small(tables[-1], ROW_BYTES).select(F.col("id").alias(name), *more, *[F.col(c).alias(f"{name}_{c}") for c in ("words", "heads", "tails")])  # noqa: B023, E731
+        found = found.join(side("left", "lang"), "left").join(side("right"), "right")
         found = found.select(
-            F.monotonically_increasing_id().alias("id"), "lang", F.concat("left_words", F.slice("right_words", -1, 1)).alias("words"), "f", "left", "right",
+            "id", "lang", F.concat("left_words", F.slice("right_words", -1, 1)).alias("words"), "f", "left", "right",
             F.concat("left_heads", F.array("f")).alias("heads"), F.concat("right_tails", F.array("f")).alias("tails"),
         )
         tables.append(materialise(found, "phrases", keep=True))
-        if k < most:
-            blocks = _named(blocks, tables[-1], ["left", "right"])
     return tables, totals
 
 
