@@ -7,6 +7,7 @@ batch of questions first reads the cells around it, whose k-th best gives each q
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -65,12 +66,13 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 def build_table(points: DataFrame, size: int, pivots: int = PIVOTS) -> VectorTable:
     """The table of ``points`` (doc_id, vector of ``size`` numbers). Points without a vector, or of length 0, are invisible.
 
-    Pivots are ``pivots`` points at most, chosen by a hash of their ids: their number is a parameter, so tasks have them all.
+    Pivots are ``pivots`` points at most, and no more than the root of all, chosen by a hash of their ids: their number is a parameter, so tasks have them all.
     """
     told = points.where("vector is not null").select("doc_id", F.col("vector").cast("array<double>").alias("vector"))
     wrong = F.concat(F.lit("a vector has another size than "), F.lit(str(size)))
     told = told.withColumn("vector", F.when(F.size("vector") != size, F.raise_error(wrong).cast("array<double>")).otherwise(F.col("vector")))
     told = materialise(told.where(F.exists("vector", lambda v: v != 0)), "points", keep=True)
+    pivots = min(pivots, 1 + math.isqrt(told.count()))  # a small table has few cells
     chosen = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(pivots).select("vector").collect()
     at = np.array([r.vector for r in chosen], np.float64).reshape(-1, size)
     at = np.unique(at / np.maximum(np.linalg.norm(at, axis=1, keepdims=True), 1e-300), axis=0)
