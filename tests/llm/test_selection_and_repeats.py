@@ -127,7 +127,7 @@ def test_repeated_windows(length):
     seen = Counter()
     for c, n in zip(contexts, counts, strict=True):
         seen.update({w: n * k for w, k in Counter(c[i : i + length] for i in range(len(c) - length + 1)).items()})
-    got = suffix_dedup.repeated_windows(contexts, counts, length)
+    got = suffix_dedup.repeated_windows(contexts, [np.full(max(0, len(c) - length + 1), n) for c, n in zip(contexts, counts, strict=True)], length)
     assert [g.tolist() for g in got] == [[seen[c[i : i + length]] > 1 for i in range(len(c) - length + 1)] for c in contexts]
 
 
@@ -143,10 +143,12 @@ def plain_repeats(rows, length):
         yield row[0], len(d), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize("group, windows", [(64 << 10, 1024), (0, 1024), (900, 50)])
-def test_repeats(spark, path, monkeypatch, group, windows):
+@pytest.mark.parametrize("group, windows, region", [(64 << 10, 1024, 256 << 10), (0, 1024, 256 << 10), (900, 50, 256 << 10), (64 << 10, 1024, 300)])
+def test_repeats(spark, path, monkeypatch, group, windows, region):
     monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", group)  # 0: all anchors are compared window by window
     monkeypatch.setattr(suffix_dedup, "CONTEXT_WINDOWS", windows)
+    monkeypatch.setattr(suffix_dedup, "REGION_BYTES", region)  # anchors each in a block of their own
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", min(region, 96 << 10))
     got = queries.QUERIES["op12_suffix_dedup"](spark, path).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     want = list(plain_repeats(documents(), 200))
     assert Counter(map(tuple, got.collect())) == Counter(want) and 0 < sum(w[2] for w in want) < sum(w[1] for w in want)
