@@ -31,6 +31,7 @@ def rows():
 def write(spark, path, documents, conversations):
     spark.createDataFrame(documents, SCHEMA).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(5)] + [(1, 0, 0)], "doc_id long, quality long, toxic long").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, "one two three four"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     spark.createDataFrame(conversations, "conv_id long, turn long, role string, text string, record string, v string").write.parquet(f"{path}/conversations.parquet")
     return path
 
