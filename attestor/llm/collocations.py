@@ -22,12 +22,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch, small
+from .common import materialise, scratch
 
 #: Bytes of text after which a block of codes ends; a longer text is a block of its own.
 BLOCK_BYTES = 8 << 20
-#: Bytes of a phrase with its counts in a hash table, about.
-ROW_BYTES = 224
 #: Parts in which a language's phrases are ranked before their best meet.
 SALTS = 64
 #: A-Z become a-z, the bytes .,;:!? and line breaks become \n, a tab a blank.
@@ -168,7 +166,7 @@ def frequent_phrases(docs: DataFrame, most: int = 3, least_count: int = 10) -> t
             found = named.groupBy("id").agg(*[F.first(c).alias(c) for c in ("left", "right", "f")])
         else:
             found = entries.groupBy("left", "right").agg(F.sum(_count("at")).alias("f")).where(F.col("f") >= least_count).withColumn("id", F.monotonically_increasing_id())
-        side = lambda name, *more: small(tables[-1], ROW_BYTES).select(F.col("id").alias(name), *more, *[F.col(c).alias(f"{name}_{c}") for c in ("words", "heads", "tails")])  # noqa: B023, E731
+        side = lambda name, *more: tables[-1].select(F.col("id").alias(name), *more, *[F.col(c).alias(f"{name}_{c}") for c in ("words", "heads", "tails")])  # noqa: B023, E731
         found = found.join(side("left", "lang"), "left").join(side("right"), "right")
         found = found.select(
             "id", "lang", F.concat("left_words", F.slice("right_words", -1, 1)).alias("words"), "f", "left", "right",
