@@ -268,6 +268,41 @@ def test_hot_keys_are_parted(spark, monkeypatch):
     assert removed == 20
 
 
+def template_lines(rng, n, common, groups, vocabulary):
+    """Lines of n words, of which ``common`` are all lines' at the same places, in groups of three that are similar to one another."""
+    places = set(rng.choice(n, common, replace=False).tolist())
+    template = [f"t{i}" for i in range(n)]
+    lines = []
+    for _ in range(groups):
+        base = [template[i] if i in places else f"v{rng.integers(vocabulary)}" for i in range(n)]
+        lines.append(base)
+        edits = rng.choice(n, int(n * 0.2), replace=False)
+        for part in np.array_split(edits, 2):  # edits of the second and third add up to what is allowed between them
+            w = list(base)
+            for at in part:
+                w[at] = f"v{rng.integers(vocabulary)}"
+            lines.append(w)
+    return [" ".join(w) for w in lines]
+
+
+@pytest.mark.parametrize(("n", "common", "vocabulary"), [(12, 8, 10**6), (20, 14, 10**6), (40, 28, 10**6), (40, 28, 300)])
+def test_lines_of_a_template_are_found(spark, n, common, vocabulary):
+    """Every key of 1,200 lines is full of their template, and with 300 words beside it no word is rare."""
+    lines = template_lines(np.random.default_rng(n), n, common, 400, vocabulary)
+    left = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), 1).where("text <> ''").select("doc_id").collect()
+    assert 400 >= len({r.doc_id // 3 for r in left}) >= 0.97 * 400 and len(lines) - len(left) >= 0.95 * 800
+
+
+def test_simhash_sums_bits_by_weight(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, int(h), int(w)) for i in range(20) for h, w in zip(rng.integers(-(2**63), 2**63, 9), rng.integers(0, 257, 9), strict=True)]
+    got = {r.line: r.bits for r in line_dedup.simhash(spark.createDataFrame(rows, "line long, hash long, weight long")).collect()}
+    for i in range(20):
+        own = [(h % 2**64, w) for line, h, w in rows if line == i]
+        brute = sum(1 << b for b in range(64) if 2 * sum(w for h, w in own if h >> b & 1) > sum(w for _, w in own))
+        assert got[i] % 2**64 == brute
+
+
 def test_rows_with_one_id_keep_their_own_lines(spark):
     a, b = "alpha beta gamma delta epsilon zeta", "one two three four five six seven"
     docs = spark.createDataFrame([(1, f"{a}\n{b}", 1), (1, f"{b}\n{a}\nlast line of this row", 2), (1, f"{a}\n{b}", 3), (None, a, 4), (None, "only here and nowhere else at all", 5)], "doc_id long, text string, n int")
