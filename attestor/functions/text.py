@@ -59,6 +59,20 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(folded(text), F.lit(WORD), F.lit(0))
 
 
+def counted(values: Column) -> Column:
+    """``array<struct<value, n>>``: distinct values of an array in order, and how often it has each; a null array counts as empty.
+
+    Runs of the sorted array are counted inside the row, so nothing is shuffled. Arrays of one element bind what several steps read.
+    """
+
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (n > 0) & ((i == 0) | ~F.get(s, i).eqNullSafe(F.get(s, i - 1))))
+        return F.flatten(F.transform(F.array(starts), lambda at: F.transform(at, lambda p, j: F.struct(F.get(s, p).alias("value"), (F.coalesce(F.get(at, j + 1), n) - p).cast("long").alias("n")))))
+
+    return F.flatten(F.transform(F.array(F.sort_array(values)), lambda s: F.when(s.isNotNull(), runs(s)).otherwise(runs(F.slice(s, 1, 0)))))
+
+
 def safe_filename(name: Column) -> Column:
     """What an object store takes: letters, digits, dot, underscore, hyphen; 180 characters at most; ``upload`` for nothing."""
     safe = F.substring(F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "_"), 1, 180)

@@ -309,3 +309,23 @@ def test_agent_loop(spark):
     states = pipelines.answer_question(corpus, "What are the alpha pipeline flows and what is zeta omega kappa?", pipelines.Limits(attempts=2))
     assert [s.status for s in states] == ["supported", "exhausted"]
     assert 1 in states[0].evidence and len(states[1].tried) == 2
+
+
+def test_words_and_buckets_are_counted_inside_the_row(spark, monkeypatch):
+    from attestor.operators import lexical, vectors
+
+    docs = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None), (4, "--"), (5, "B b Straße strasse ß")], "doc_id long, text string")
+    plans, write = {}, lexical.materialise
+
+    def told(df, name, **more):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name, **more)
+
+    monkeypatch.setattr(lexical, "materialise", told)
+    postings = lexical.build_index(docs).postings
+    assert "Exchange" not in plans["postings"]
+    assert sorted(map(tuple, postings.select("doc_id", "term", "tf", "length").collect())) == [(1, "a", 2, 3), (1, "b", 1, 3), (5, "b", 2, 5), (5, "ss", 1, 5), (5, "strasse", 2, 5)]
+    vectors_ = vectors.embed_documents(docs, 64)
+    assert "Exchange" not in vectors_._jdf.queryExecution().executedPlan().toString()
+    got = {r.doc_id: r.vector for r in vectors_.collect()}
+    assert set(got) == {1, 2, 4, 5} and sorted(abs(x) for x in got[1])[-2:] == [1 / 5**0.5, 2 / 5**0.5]
