@@ -10,8 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestor.sources.scratch import materialise
+
 from .lexical import ranked
-from .vectors import cosine, knn_topk
+from .vectors import cosine, knn_topk, knn_within
 
 TARGET, MOST_GROUPS = 8, 24
 DOCUMENTS, SECTIONS, CHUNKS = 8, 24, 80
@@ -86,17 +88,19 @@ def centroids(points: DataFrame, group: str) -> DataFrame:
     return sums.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("vector"))
 
 
-def route(questions: DataFrame, documents: DataFrame, sections: DataFrame, chunks: DataFrame, k: int = 10, n_documents: int = DOCUMENTS, n_sections: int = SECTIONS, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+def route(questions: DataFrame, documents: DataFrame, sections: DataFrame, chunks: DataFrame, k: int = 10, n_documents: int = DOCUMENTS, n_sections: int = SECTIONS, admits: Callable[[pd.DataFrame, dict], np.ndarray] | None = None) -> DataFrame:
     """``(query_id, doc_id, score, rank, document_id, section_id)``: best chunks inside the best sections of the best documents.
 
     ``documents`` (document_id, vector), ``sections`` (section_id, document_id, vector), ``chunks`` (doc_id, section_id, document_id,
-    vector), ``questions`` (query_id, vector). Each level's winners, at most ``n`` per question, are the semi-join of the next.
-    ``keep`` keeps the chunks (query_id, doc_id, ...) that a question may have, before the best are chosen.
+    vector), ``questions`` (query_id, vector). Each level's winners, at most ``n`` per question, are the groups of the next, whose
+    chunks and questions are multiplied in tiles. ``admits`` tells, as in ``knn_topk``, which chunks a question may have, from other
+    columns of both, before the best are chosen. Vectors of length 0 are invisible.
     """
     top = knn_topk(documents.select(F.col("document_id").alias("doc_id"), "vector"), questions, n_documents).select("query_id", F.col("doc_id").alias("document_id"), F.col("score").alias("document_score"))
-    inside = sections.join(top, "document_id").join(questions.withColumnRenamed("vector", "_q"), "query_id")
-    best = ranked(inside.select("query_id", "section_id", "document_id", "document_score", cosine(F.col("vector"), F.col("_q")).alias("score")), n_sections, "section_id")
-    best = best.select("query_id", "section_id", "document_score", F.col("score").alias("section_score"))
-    hits = chunks.join(best, "section_id").join(questions.withColumnRenamed("vector", "_q"), "query_id")
-    scored = keep(hits).select("query_id", "doc_id", "document_id", "section_id", "document_score", "section_score", cosine(F.col("vector"), F.col("_q")).alias("score"))
-    return ranked(scored, min(k, CHUNKS))
+    inside = sections.join(top, "document_id").join(questions.select("query_id", F.col("vector").alias("_q")), "query_id")
+    best = inside.select("query_id", "section_id", "document_id", "document_score", cosine(F.col("vector"), F.col("_q")).alias("score")).where("score is not null")
+    best = ranked(best, n_sections, "section_id").select("query_id", "section_id", "document_id", "document_score", F.col("score").alias("section_score"))
+    best = materialise(best, "routed-sections", keep=True)
+    asked = materialise(best.select("query_id", "section_id").distinct().join(questions, "query_id"), "routed-questions", keep=True)
+    hits = knn_within(chunks.drop("document_id"), asked, "section_id", min(k, CHUNKS), admits).join(best, ["query_id", "section_id"])
+    return ranked(hits.select("query_id", "doc_id", "document_id", "section_id", "document_score", "section_score", "score"), min(k, CHUNKS))

@@ -136,11 +136,15 @@ def hierarchical(corpus: Corpus, questions: DataFrame, k: int, allowed: Allowed
     fallback = lambda q: baseline(corpus, q, k, allowed).select("query_id", "doc_id", "score", "rank")
     if corpus.sections is None:
         return fallback(questions)
-    scoped = isinstance(allowed, Scopes)
-    chunks = inside(corpus.points, None if scoped else allowed).join(corpus.sections, "doc_id")
+    asked, admits, points = embedded(corpus, questions), None, corpus.points
+    if isinstance(allowed, Scopes):
+        asked, admits, points = allowed.questions(asked), scopes.admitted_rows, allowed.points(points)
+    else:
+        points = inside(points, allowed)
+    chunks = points.join(corpus.sections, "doc_id")
     documents = hierarchy.centroids(chunks, "document_id")
     sections = hierarchy.centroids(chunks, "section_id").join(chunks.select("section_id", "document_id").distinct(), "section_id")
-    found = hierarchy.route(embedded(corpus, questions), documents, sections, chunks, k, keep=allowed.inside if scoped else lambda rows: rows).select("query_id", "doc_id", "score", "rank")
+    found = hierarchy.route(asked, documents, sections, chunks, k, admits=admits).select("query_id", "doc_id", "score", "rank")
     found = materialise(found, "routed", keep=True)
     return found.unionByName(fallback(questions.join(found.select("query_id").distinct(), "query_id", "left_anti")))
 

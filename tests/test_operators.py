@@ -329,3 +329,23 @@ def test_words_and_buckets_are_counted_inside_the_row(spark, monkeypatch):
     assert "Exchange" not in vectors_._jdf.queryExecution().executedPlan().toString()
     got = {r.doc_id: r.vector for r in vectors_.collect()}
     assert set(got) == {1, 2, 4, 5} and sorted(abs(x) for x in got[1])[-2:] == [1 / 5**0.5, 2 / 5**0.5]
+
+
+def test_routing_multiplies_tiles_and_passes_over_vectors_of_length_0(spark, monkeypatch):
+    import math
+
+    from attestor.operators import hierarchy, vectors
+
+    monkeypatch.setattr(vectors, "TILE", 7)
+    vector = lambda i: [0.0, 0.0] if i == 30 or i % 4 == 3 else [math.cos(i), math.sin(i)]
+    rows = [(i, f"d{i % 2}", f"d{i % 2}:{i % 4}", vector(i)) for i in range(60)]
+    chunks = spark.createDataFrame(rows, "doc_id long, document_id string, section_id string, vector array<double>")
+    sections = hierarchy.centroids(chunks, "section_id").join(chunks.select("section_id", "document_id").distinct(), "section_id")
+    asked = spark.createDataFrame([(q, [math.cos(q / 3), math.sin(q / 3)]) for q in range(20)], "query_id long, vector array<double>")
+    found = hierarchy.route(asked, hierarchy.centroids(chunks, "document_id"), sections, chunks, 5, 2, 4)
+    told: dict = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        told.setdefault(r.query_id, []).append((r.doc_id, r.section_id))
+    for q in range(20):
+        scored = sorted((-round(math.cos(i - q / 3), 9), str(i), i) for i in range(60) if any(vector(i)))
+        assert told[q] == [(i, rows[i][2]) for *_, i in scored[:5]]
