@@ -62,3 +62,11 @@ def test_no_points_and_no_questions(spark, points):
     none = points.where("false")
     assert vector_table.table_topk(vector_table.build_table(none, SIZE), asked(points), 3).count() == 0
     assert vector_table.table_topk(vector_table.build_table(points, SIZE, 4), asked(none), 3).count() == 0
+
+
+def test_cells_are_wanted_by_parts_of_questions_without_their_vectors(spark, points):
+    known = points.where("doc_id is not null")
+    table = vector_table.build_table(known, SIZE, 24)
+    wanted = vector_table.wanted_cells(table, vector_table._asked(table, asked(known)), 50)
+    assert wanted.columns == ["part", "pivot", "ring", "places"]
+    assert 0 < wanted.count() <= table.cells.count()  # all questions are one part, and a cell that several want is one row
