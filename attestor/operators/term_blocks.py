@@ -52,16 +52,18 @@ def tier(block: Column) -> Column:
     return F.when(block == 0, 0).otherwise(F.floor(F.log(float(FAN), (block - 1) * (FAN - 1) / FAN + 1) + 1e-9).cast("int") + 1)
 
 
-def build_blocks(docs: DataFrame | Index) -> BlockIndex:
+def build_blocks(docs: DataFrame | Index, terms: DataFrame | None = None) -> BlockIndex:
     """The index of ``docs`` (doc_id, text), or of their word index, written to the shared folder.
 
-    A term in very many documents has one list for each LIST of them, so no task sorts more than that.
+    A term in very many documents has one list for each LIST of them, so no task sorts more than that. With ``terms`` (term, distinct), all that
+    will be asked for, other words' postings are left where they lie, as no answer depends on them; statistics stay those of all words.
     """
     index = docs if isinstance(docs, Index) else build_index(docs)
     mean = F.col("mean_length")
     share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
     frequent = small(materialise(index.frequencies.where(F.col("df") > LIST).select("term", F.ceil(F.col("df") / LIST).cast("int").alias("lists")), "frequent", keep=True), 120)
-    told = index.postings.join(F.broadcast(index.size), how="cross").join(frequent, "term", "left")
+    postings = index.postings if terms is None else index.postings.join(small(terms), "term", "left_semi")
+    told = postings.join(F.broadcast(index.size), how="cross").join(frequent, "term", "left")
     of_list = F.pmod(F.xxhash64("doc_id"), F.coalesce("lists", F.lit(1))).cast("int")
     told = told.select("term", of_list.alias("list"), "doc_id", share.alias("share"))
     place = F.row_number().over(Window.partitionBy("term", "list").orderBy(F.desc("share"), F.col("doc_id").cast("string"))) - 1

@@ -100,3 +100,15 @@ def test_scratches_of_threads_are_apart(spark):
     assert found == [3]
     with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
         mine.count()
+
+
+def test_blocks_of_asked_words_alone_answer_the_same(spark):
+    from attestor.operators import lexical, term_blocks
+
+    docs = spark.createDataFrame([(i, f"w{i % 3} w{i % 5} x{i}") for i in range(40)], "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "w1 w4"), (1, "w2 none x7")], "query_id long, question string")
+    index = lexical.build_index(docs)
+    blocks = term_blocks.build_blocks(index, lexical.question_terms(asked).select("term").distinct())
+    assert {r.term for r in blocks.heads.collect()} == {"w1", "w4", "w2", "x7"}
+    told = lambda df: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in df.collect())
+    assert told(term_blocks.blocks_topk(blocks, asked, 5)) == told(lexical.bm25_topk(index, asked, 5))
