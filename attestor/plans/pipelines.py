@@ -136,7 +136,7 @@ def hierarchical(corpus: Corpus, questions: DataFrame, k: int, allowed: Allowed
     fallback = lambda q: baseline(corpus, q, k, allowed).select("query_id", "doc_id", "score", "rank")
     if corpus.sections is None:
         return fallback(questions)
-    asked, admits, points = embedded(corpus, questions), None, corpus.points
+    asked, admits, points = vectors.directed(embedded(corpus, questions)), None, vectors.directed(corpus.points)
     if isinstance(allowed, Scopes):
         asked, admits, points = allowed.questions(asked), scopes.admitted_rows, allowed.points(points)
     else:
