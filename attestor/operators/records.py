@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestor.sources.scratch import materialise, scratch
+from attestor.sources.scratch import materialise
 
 #: Version and outcomes of a diagnostic that may be shown.
 DIAGNOSTIC_VERSION = "1.0"
@@ -15,11 +15,50 @@ DIAGNOSTIC_OUTCOMES = ("primary_valid", "repair_valid", "fallback")
 
 
 def _kind(value: Column) -> Column:
-    told = F.schema_of_variant(value)
-    return (
-        F.when(told.startswith("OBJECT"), "object").when(told.startswith("ARRAY"), "array").when(told == "VOID", "null")
-        .when(told == "BIGINT", "integer").when(told == "STRING", "string").when(told == "BOOLEAN", "boolean").otherwise("number")
-    )
+    def named(told: Column) -> Column:
+        return (
+            F.when(told.startswith("OBJECT"), "object").when(told.startswith("ARRAY"), "array").when(told == "VOID", "null")
+            .when(told == "BIGINT", "integer").when(told == "STRING", "string").when(told == "BOOLEAN", "boolean").otherwise("number")
+        )
+
+    # an array of one element binds the schema, which is worked out once
+    return F.get(F.transform(F.array(F.schema_of_variant(value)), named), 0)
+
+
+def _node(path: Column, v: Column) -> Column:
+    return F.struct(path.alias("path"), v.alias("v"), _kind(v).alias("kind"))
+
+
+def _children(node: Column) -> Column:
+    """``array<struct<path, v, kind>>``: the members or elements of a node; none of a scalar."""
+    inner = lambda step, v: _node(F.concat(node["path"], F.array(step)), v)
+    members = F.transform(F.map_entries(F.try_variant_get(node["v"], "$", "map<string,variant>")), lambda e: inner(F.concat(F.lit("."), e["key"]), e["value"]))
+    elements = F.transform(F.try_variant_get(node["v"], "$", "array<variant>"), lambda x, i: inner(F.concat(F.lit("["), i.cast("string"), F.lit("]")), x))
+    return F.when(node["kind"] == "object", members).when(node["kind"] == "array", elements).otherwise(F.slice(F.array(node), 1, 0))
+
+
+def _opened(column: str, take: Callable[[Column], Column], kind: str, all_in: bool) -> Column:
+    """``array<kind>``: what ``take`` makes of the nodes of a JSON text, level by level inside its row; nulls go. Without ``all_in``, nodes that
+    it makes something of are not looked into.
+
+    A text has at most as many levels of containers as opening brackets; those that it does not have cost next to nothing.
+    """
+    text = F.col(column)
+    levels = F.length(text) - F.length(F.translate(text, "{[", "")) + 1
+    # what is no JSON has no node
+    top = F.transform(F.array_compact(F.array(F.try_parse_json(text))), lambda v: _node(F.array().cast("array<string>"), v))
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("found"), top.alias("level"))
+
+    def step(held: Column, _: Column) -> Column:
+        def after(told: Column) -> Column:
+            found = F.concat(held["found"], F.transform(F.filter(told, lambda t: t["told"].isNotNull()), lambda t: t["told"]))
+            entered = told if all_in else F.filter(told, lambda t: t["told"].isNull())
+            return F.struct(found.alias("found"), F.flatten(F.transform(entered, lambda t: _children(t["node"]))).alias("level"))
+
+        told = F.transform(held["level"], lambda node: F.struct(node.alias("node"), take(node).alias("told")))
+        return F.when(F.size(held["level"]) == 0, held).otherwise(F.get(F.transform(F.array(told), after), 0))
+
+    return F.aggregate(F.sequence(F.lit(1), levels), start, step, lambda held: held["found"])
 
 
 def record_paths(records: DataFrame, by: str, column: str) -> DataFrame:
@@ -28,38 +67,27 @@ def record_paths(records: DataFrame, by: str, column: str) -> DataFrame:
     ``path`` is an array: ".key" for a member, "[i]" for an element, empty for the whole. ``text`` is a scalar's own text. Values are
     equal where type and ``same`` are: numbers and booleans compare as numbers, so 1, 1.0 and true are equal; an array's ``same`` is its
     size, and so is an object's inside an array, while an object outside has none, as others may have more members.
-    Null texts and those that are no JSON have no rows. Every level of nesting is one pass over the containers of the level above.
+    Null texts and those that are no JSON have no rows. A record is opened inside its row, so nothing is shuffled; the rows are written once.
     """
-    spark = records.sparkSession
-    top = records.select(F.col(by), F.array().cast("array<string>").alias("path"), F.try_parse_json(F.col(column)).alias("v")).where("v is not null")
-    with scratch(spark):
-        level = materialise(top.withColumn("type", _kind(F.col("v"))), "record-level")
-        levels = [level]
-        while True:
-            inner = level.where(F.col("type").isin("object", "array")).select(by, F.col("path").alias("_path"), "v", F.col("type").alias("_type"))
-            inner = inner.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
-            step = F.when(F.col("_type") == "object", F.concat(F.lit("."), "key")).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
-            inner = inner.select(by, F.concat("_path", F.array(step)).alias("path"), F.col("value").alias("v"))
-            level = materialise(inner.withColumn("type", _kind(F.col("v"))), "record-level")
-            if level.isEmpty():
-                break
-            levels.append(level)
-        rows = levels[0]
-        for level in levels[1:]:
-            rows = rows.unionByName(level)
-        parents = rows.where("size(path) > 0").groupBy(by, F.slice("path", F.lit(1), F.size("path") - 1).alias("path")).agg(F.count("*").alias("_n"))
-        rows = rows.join(parents, [by, "path"], "left")
-        number = F.when(F.col("type") == "boolean", F.try_variant_get("v", "$", "boolean").cast("int").cast("double")).otherwise(F.try_variant_get("v", "$", "double"))
-        exact = F.when(F.col("type") == "boolean", F.try_variant_get("v", "$", "boolean").cast("int").cast("decimal(38,18)")).otherwise(F.try_variant_get("v", "$", "decimal(38,18)"))
-        scalar = F.when(F.col("type").isin("object", "array"), F.lit(None)).otherwise(F.try_variant_get("v", "$", "string"))
-        in_array = F.exists("path", lambda p: p.startswith("["))
-        size = F.coalesce("_n", F.lit(0)).cast("string")
+
+    def told(node: Column) -> Column:
+        v, path, type_ = node["v"], node["path"], node["kind"]
+        boolean = F.try_variant_get(v, "$", "boolean").cast("int")
+        number = F.when(type_ == "boolean", boolean.cast("double")).otherwise(F.try_variant_get(v, "$", "double"))
+        exact = F.when(type_ == "boolean", boolean.cast("decimal(38,18)")).otherwise(F.try_variant_get(v, "$", "decimal(38,18)"))
+        scalar = F.when(type_.isin("object", "array"), F.lit(None)).otherwise(F.try_variant_get(v, "$", "string"))
+        held = F.when(type_ == "array", F.size(F.try_variant_get(v, "$", "array<variant>"))).otherwise(F.size(F.try_variant_get(v, "$", "map<string,variant>")))
+        size = held.cast("string")
         same = (
-            F.when((F.col("type") == "array") | ((F.col("type") == "object") & in_array), size)
-            .when(F.col("type") == "string", scalar)
-            .when(F.col("type").isin("integer", "number", "boolean"), F.concat_ws("|", exact.cast("string"), (number + F.lit(0.0)).cast("string")))
+            F.when((type_ == "array") | ((type_ == "object") & F.exists(path, lambda p: p.startswith("["))), size)
+            .when(type_ == "string", scalar)
+            .when(type_.isin("integer", "number", "boolean"), F.concat_ws("|", exact.cast("string"), (number + F.lit(0.0)).cast("string")))
         )
-        return materialise(rows.select(by, "path", "type", scalar.alias("text"), same.alias("same")), "record-paths", keep=True)
+        return F.struct(path.alias("path"), type_.alias("type"), scalar.alias("text"), same.alias("same"))
+
+    found = _opened(column, told, "struct<path:array<string>,type:string,text:string,same:string>", True)
+    rows = records.where(F.col(column).isNotNull()).select(by, F.inline(found))
+    return materialise(rows, "record-paths", keep=True)
 
 
 def _compared(type_: Column) -> Column:
@@ -92,9 +120,35 @@ def diagnostics(paths: DataFrame, by: str) -> DataFrame:
     above = found.where("size(path) > 0").select(by, "path", F.explode(F.transform(F.sequence(F.lit(0), F.size("path") - 1), lambda n: F.slice(F.col("path"), F.lit(1), n))).alias("_above"))
     nested = above.join(found.select(by, F.col("path").alias("_above")), [by, "_above"], "left_semi").select(by, "path").distinct()
     outer = found.join(nested, [by, "path"], "left_anti")
-    parts = F.when(F.element_at(F.concat(F.array(F.lit("")), "path"), -1) == ".structured_output", F.slice("path", F.lit(1), F.size("path") - 1)).otherwise(F.col("path"))
+    return outer.select(by, _stage(F.col("path")).alias("stage"), "outcome", "failure_code", "attempt_count", "repair_attempted")
+
+
+def _stage(path: Column) -> Column:
+    parts = F.when(F.element_at(F.concat(F.array(F.lit("")), path), -1) == ".structured_output", F.slice(path, F.lit(1), F.size(path) - 1)).otherwise(path)
     shown = F.array_join(F.transform(parts, lambda p: F.when(p.startswith("["), "[]").otherwise(F.substring(p, 2, 1 << 30))), ".")
-    return outer.select(by, F.coalesce(F.nullif(shown, F.lit("")), F.lit("unknown")).alias("stage"), "outcome", "failure_code", "attempt_count", "repair_attempted")
+    return F.coalesce(F.nullif(shown, F.lit("")), F.lit("unknown"))
+
+
+def record_diagnostics(records: DataFrame, by: Sequence[str], column: str) -> DataFrame:
+    """``diagnostics`` of the JSON texts of ``records``, with the columns ``by``: safe ones are told inside the row, from the object itself,
+    so nothing is shuffled or written."""
+
+    def told(node: Column) -> Column:
+        def of(key: str, kind: str) -> Column:
+            return F.try_variant_get(node["v"], f"$.{key}", kind)
+
+        code = of("failure_code", "variant")
+        code = F.when(_kind(code).isin("string", "integer", "number", "boolean"), F.try_variant_get(code, "$", "string"))
+        shown = F.struct(_stage(node["path"]).alias("stage"), of("outcome", "string").alias("outcome"), code.alias("failure_code"), of("attempt_count", "long").alias("attempt_count"), of("repair_attempted", "boolean").alias("repair_attempted"))
+        typed = lambda key, kind: of(key, "variant").isNotNull() & (_kind(of(key, "variant")) == kind)
+        # what most objects lack is asked first
+        return F.when(
+            (node["kind"] == "object") & (of("schema_version", "string") == DIAGNOSTIC_VERSION) & of("outcome", "string").isin(*DIAGNOSTIC_OUTCOMES)
+            & typed("schema_version", "string") & typed("outcome", "string") & typed("attempt_count", "integer") & typed("repair_attempted", "boolean"), shown,
+        )
+
+    found = _opened(column, told, "struct<stage:string,outcome:string,failure_code:string,attempt_count:bigint,repair_attempted:boolean>", False)
+    return records.where(F.col(column).isNotNull()).select(*by, F.inline(found))
 
 
 def route_signature(paths: DataFrame, by: str, parts: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:

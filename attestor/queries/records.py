@@ -44,7 +44,7 @@ def _(spark, d):
     deep = F.when(i % 4 == 0, F.to_json(F.struct(F.array(F.struct(F.struct(report.alias("structured_output")).alias("grade"))).alias("plan"))))
     flat = F.to_json(F.struct(F.array(F.struct(report.alias("structured_output"))).alias("plan")))
     events = table(spark, d, "events").select("event_id", "user_id", F.coalesce(deep, flat).alias("record"))
-    found = records.diagnostics(records.record_paths(events, "event_id", "record"), "event_id").join(events.select("event_id", "user_id"), "event_id")
+    found = records.record_diagnostics(events, ["user_id"], "record")
     return found.groupBy("user_id", "stage", "outcome", "failure_code", "attempt_count", "repair_attempted").agg(F.count("*").alias("n"))
 
 

@@ -52,3 +52,30 @@ def test_signatures_keep_the_order_asked_for(spark):
     got = {r.i: r.signature for r in records.route_signature(records.record_paths(rows, "i", "r"), "i", [("p", ("b", "a", "c", "d"))]).collect()}
     assert got == {1: ["p:b:2", "p:a:x"], 2: [], 3: []}
     assert records.record_paths(rows.where(F.lit(False)), "i", "r").isEmpty()
+
+
+def test_records_are_opened_inside_their_row(spark):
+    good = {"schema_version": "1.0", "outcome": "primary_valid", "attempt_count": 2, "repair_attempted": False}
+    deep = good
+    for i in range(20):
+        deep = [deep] if i % 2 else {"x": deep}
+    cases = [
+        good, {"x": {"structured_output": {**good, "more": good}}}, {"x": [good, {"y": {**good, "failure_code": "f"}}, 3, None, []]}, deep, {"a": "}{][", "b": good}, [], 7, {},
+        {"x": {**good, "attempt_count": True}}, {"x": {**good, "repair_attempted": 0}}, {"x": {**good, "schema_version": 1.0}}, {"x": {**good, "outcome": None, "in": good}}, {"x": {**good, "failure_code": [1]}},
+    ]
+    rows = spark.createDataFrame([(i, json.dumps(c)) for i, c in enumerate(cases)] + [(98, None), (99, "{no json")], "i long, r string")
+    direct = records.record_diagnostics(rows, ["i"], "r")
+    assert "Exchange" not in direct._jdf.queryExecution().executedPlan().toString()
+    plain = lambda df: sorted(map(repr, df.select("i", "stage", "outcome", "failure_code", "attempt_count", "repair_attempted").collect()))
+    paths = records.record_paths(rows, "i", "r")
+    assert plain(direct) == plain(records.diagnostics(paths, "i")) and direct.count() == 8
+    # each value has a row
+    values = lambda x: 1 + sum(map(values, x.values() if isinstance(x, dict) else x if isinstance(x, list) else []))
+    assert {r.i: r["count"] for r in paths.groupBy("i").count().collect()} == {i: values(c) for i, c in enumerate(cases)}
+
+
+def test_the_query_shuffles_groups_alone(spark):
+    from attestor.queries.records import QUERIES
+
+    plan = QUERIES["diagnostics_paths"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
