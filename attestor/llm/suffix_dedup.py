@@ -36,6 +36,15 @@ GROUP_BYTES = 3 << 20
 REGION, REGION_BYTES = 4 << 10, 64 << 10
 #: Windows of a context at most; text that repeats itself would make longer ones.
 CONTEXT_WINDOWS = 1024
+#: Rows of a batch that are worked at a time, and contexts whose windows are hashed at a time: what a worker holds besides the batch.
+ROWS, HASHED = 256, 64
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows, so that a worker's lists and results do not grow with Spark's batches."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
 def suffix_order(text: list[int]) -> list[int]:
@@ -184,7 +193,9 @@ def anchor_hashes(data: bytes, width: int) -> np.ndarray:
     h ^= h >> np.uint64(29)
     n = 1
     while n < width:
-        h = h[:-n] * np.uint64(0xBF58476D1CE4E5B9) + h[n:] * np.uint64(0x94D049BB133111EB)
+        after = h[n:] * np.uint64(0x94D049BB133111EB)
+        after += h[:-n] * np.uint64(0xBF58476D1CE4E5B9)
+        h = after
         h ^= h >> np.uint64(31)
         n *= 2
     return h * np.uint64(0x9E3779B97F4A7C15)
@@ -199,17 +210,18 @@ def _sliding(values: np.ndarray, width: int, best: Callable) -> np.ndarray:
     return best(values[: len(values) - (width - n)], values[width - n :]) if n < width else values
 
 
-def contexts_of(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, start and number of windows of each context of a text of at least ``length`` bytes, and whether it holds its anchor twice."""
+def contexts_of(data: bytes, length: int, asked: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, start and number of windows of each context of a text of at least ``length`` bytes, and, where ``asked``, whether it holds its anchor twice."""
     hashes, span = anchor_hashes(data, ANCHOR), length - ANCHOR + 1
     least = _sliding(hashes, span, np.minimum)
     starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    # a place is an anchor if its hash is the least of a window that holds it; no other anchors are between two of one context
-    edge = np.zeros(span - 1, np.uint64)
-    places = np.flatnonzero(hashes == _sliding(np.concatenate([edge, least, edge]), span, np.maximum))
-    pairs = np.flatnonzero((hashes[places[1:]] == hashes[places[:-1]]) & (np.diff(places) < span))
     twice = np.zeros(len(starts), bool)
-    twice[np.searchsorted(starts, np.maximum(0, places[pairs + 1] - span + 1), "right") - 1] = True
+    if asked:
+        # a place is an anchor if its hash is the least of a window that holds it; no other anchors are between two of one context
+        edge = np.zeros(span - 1, np.uint64)
+        places = np.flatnonzero(hashes == _sliding(np.concatenate([edge, least, edge]), span, np.maximum))
+        pairs = np.flatnonzero((hashes[places[1:]] == hashes[places[:-1]]) & (np.diff(places) < span))
+        twice[np.searchsorted(starts, np.maximum(0, places[pairs + 1] - span + 1), "right") - 1] = True
     ends = np.append(starts[1:], len(least))
     if (ends - starts).max() > CONTEXT_WINDOWS:
         pieces = [np.arange(a, b, CONTEXT_WINDOWS) for a, b in zip(starts, ends, strict=True)]
@@ -222,7 +234,7 @@ def _anchors(rows: DataFrame, length: int) -> DataFrame:
     """``anchor`` of all anchors that stand in two contexts, or twice in one."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, ROWS):
             found = [contexts_of(data, length) for data in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.list_(t)) for i, t in ((0, pa.int64()), (3, pa.bool_()))], ["anchor", "twice"])
 
@@ -235,10 +247,10 @@ def _contexts(rows: DataFrame, length: int) -> DataFrame:
     """``row, anchor, context, start, n`` of all contexts; ``context`` is a hash of its bytes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, ROWS):
             columns: list[list] = [[], [], [], [], []]
             for row, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                anchors, starts, n, _ = contexts_of(data, length)
+                anchors, starts, n, _ = contexts_of(data, length, False)
                 digest = [xxhash.xxh3_64_intdigest(data[s : s + k + length - 1]) for s, k in zip(starts.tolist(), n.tolist(), strict=True)]
                 for column, value in zip(columns, (row, anchors, np.array(digest, np.uint64).view(np.int64), starts, n), strict=True):
                     column.append(value)
@@ -263,7 +275,7 @@ def _texts_of(rows: DataFrame, contexts: DataFrame, length: int) -> DataFrame:
     wanted = materialise(contexts.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("wanted")), "wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, ROWS):
             out: dict[str, list] = {c: [] for c in ("block", "hot", "anchor", "context", "times", "n", "bytes")}
             for data, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted"), strict=True):
                 block, start, n, *rest = (wanted.values.field(i).to_numpy(zero_copy_only=False) for i in range(len(names)))
@@ -312,7 +324,7 @@ def _by_windows(texts: DataFrame, length: int) -> DataFrame:
     """``anchor, context, runs`` as ``_by_suffixes``, for anchors with too many contexts for a block: windows meet by 128-bit hashes."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, HASHED):
             windows = [[xxhash.xxh3_128_digest(data[i : i + length]) for i in range(len(data) - length + 1)] for data in batch.column("bytes").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("anchor", "context", "times")), pa.array(windows, pa.list_(pa.binary()))], ["anchor", "context", "times", "windows"])
 
@@ -363,7 +375,7 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
         spans = materialise(spans, "spans", keep=True)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, ROWS):
             spans, kept = [], []
             for data, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
                 data, merged = data or b"", []

@@ -200,3 +200,18 @@ def test_first_k_by_digits(spark, monkeypatch):
     for k in (0, 1, 7, 150, 299, 300):
         taken = resampling.first_k(rows, [F.col("a"), F.bitwise_not("b"), F.col("c")], k)
         assert sorted(map(tuple, rows.where(taken).collect())) == sorted(sorted(values, key=lambda v: (v[0], -v[1], v[2]))[:k])
+
+
+def test_batches_are_worked_in_pieces():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10))], ["n"])
+    pieces = list(suffix_dedup._slices(iter([batch, batch.slice(0, 0), batch]), 4))
+    assert [p.num_rows for p in pieces] == [4, 4, 2, 4, 4, 2] and [x for p in pieces[:3] for x in p.column(0).to_pylist()] == list(range(10))
+
+
+def test_contexts_are_the_same_without_asking_for_double_anchors():
+    text = np.random.default_rng(3).integers(97, 101, 3000).astype(np.uint8).tobytes() * 2
+    for whole, bare in zip(suffix_dedup.contexts_of(text, 200)[:3], suffix_dedup.contexts_of(text, 200, False)[:3], strict=True):
+        assert whole.tolist() == bare.tolist()
+    assert suffix_dedup.contexts_of(b"ab" * 500, 200)[3].any() and not suffix_dedup.contexts_of(b"ab" * 500, 200, False)[3].any()
